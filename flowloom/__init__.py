@@ -1,3 +1,10 @@
 """flowloom: transfer-graph analytics expressed as Spark DataFrame plans."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run on executors travel by value, so that executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
