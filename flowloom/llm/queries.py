@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowloom.llm import mixing, simhash
+from flowloom.llm import chat, mixing, simhash, tokens, url_filter
 from flowloom.llm.columns import table
 
 
@@ -17,5 +17,77 @@ def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_simhash_neardup)}
-SQL: dict[str, str] = {}
+ALLOW_RULES = ["com/", "www.example.com/en/"]
+BLOCK_RULES = ["example.com/en/", "net/es/", "net/fr/"]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), ALLOW_RULES, BLOCK_RULES)
+
+
+def op4_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.sql(
+        r"""SELECT -7L AS conv_id, turn, role, r'\### Assistant: </turn> ok' AS text
+        FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(turn, role)"""
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat.read_back(chat.format_conversations(turns))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+_QUERIES = (op1_mix_sources, op2_simhash_neardup, op3_url_filter, op4_chat_prefix_targets, op5_token_counts)
+QUERIES = {f.__name__: f for f in _QUERIES}
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _fits(rule: str) -> str:
+    host, _, path = rule.partition("/")
+    return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}')"
+
+
+_BY_LENGTH = sorted(ALLOW_RULES + BLOCK_RULES, key=len, reverse=True)
+
+SQL: dict[str, str] = {
+    "op3_url_filter": f"""
+WITH a AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages
+), b AS (
+  SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM a
+), c AS (
+  SELECT page_id, translate(coalesce(h, ''), '{_UPPER}', '{_LOWER}') AS host,
+    coalesce(regexp_extract(substr(rest, length(h) + 1), '^[^?#]*'), '') AS path
+  FROM b
+), d AS (
+  SELECT page_id, host, path, CASE {" ".join(f"WHEN {_fits(r)} THEN '{r}'" for r in _BY_LENGTH)} END AS rule FROM c
+)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ({", ".join(f"'{r}'" for r in BLOCK_RULES)}) THEN 'block' ELSE 'allow' END AS verdict
+FROM d""",
+    "op4_chat_prefix_targets": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), o AS (
+  SELECT *, role = 'assistant' AS target, row_number() OVER w AS rn, count(*) OVER (PARTITION BY conv_id) AS n,
+    length(role) + length(text) + 14
+    + length(text) - length(replace(text, '\', ''))
+    + (length(text) - length(replace(text, '</turn>', ''))) // 7
+    + coalesce(list_sum(list_transform(regexp_extract_all(text, '#{3,}'), lambda x: length(x) - 2)), 0) AS size
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), s AS (
+  SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY rn) AS upto FROM o
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY rn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (target), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY rn) FILTER (target), '')) AS loss_sha256,
+  sum(CASE WHEN target OR rn = n THEN upto ELSE 0 END)::BIGINT AS formatted_chars
+FROM s GROUP BY conv_id""",
+}
