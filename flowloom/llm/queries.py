@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowloom.llm import chat, mixing, simhash, tokens, url_filter
+from flowloom.llm import chat, decontaminate, languages, licenses, matroska, mixing, simhash, tokens, url_filter, warc
 from flowloom.llm.columns import table
+from flowloom.storage import scratch_path
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +41,50 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-_QUERIES = (op1_mix_sources, op2_simhash_neardup, op3_url_filter, op4_chat_prefix_targets, op5_token_counts)
+def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.media_digests(matroska.to_media(table(spark, sf_dir, "documents")))
+
+
+def op8_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    whole = warc.reassemble(warc.read_archives(spark, path), with_payload=False)
+    return whole.select(
+        warc.page_of("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc.page_of("refers_to").alias("refers_to"),
+    )
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
+
+
+def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = languages.train(docs.filter("doc_id IS NOT NULL").filter(~languages.held_out()))
+    found = languages.identify(docs, model)
+    return found.select("doc_id", languages.held_out().alias("held_out"), "lang_pred", "score")
+
+
+_QUERIES = (
+    op1_mix_sources,
+    op2_simhash_neardup,
+    op3_url_filter,
+    op4_chat_prefix_targets,
+    op5_token_counts,
+    op6_benchmark_leaks,
+    op7_matroska_media,
+    op8_warc_segments,
+    op9_license_scan,
+    op10_language_mixture,
+)
 QUERIES = {f.__name__: f for f in _QUERIES}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -90,4 +134,16 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY rn) FILTER (target), '')) AS loss_sha256,
   sum(CASE WHEN target OR rn = n THEN upto ELSE 0 END)::BIGINT AS formatted_chars
 FROM s GROUP BY conv_id""",
+    "op8_warc_segments": """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) || '0' AS h FROM pages
+), d AS (
+  SELECT page_id, payload_bytes, max(page_id) OVER (PARTITION BY h) AS last,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      ((('0x' || substr(h, (5 * i // 4)::INT + 1, 2))::INT >> (3 - (5 * i % 4))::INT) & 31) + 1, 1)), '') AS payload_digest
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to
+FROM d""",
 }
