@@ -135,7 +135,7 @@ def phrase_places(words: list[bytes], phrases: list[tuple[list[bytes], str]]) ->
     return found
 
 
-def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, threshold: float = 0.8, window: int = 128) -> DataFrame:
+def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, threshold: float = 0.95, window: int = 128) -> DataFrame:
     """``(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches)`` of every row.
 
     ``n_base`` counts the places of all phrases, ``first_word`` and ``last_word`` are the smallest and largest of

@@ -6,7 +6,7 @@ come out as exactly themselves are proven to be one token wherever they are a wh
 among them count 1 by lookup, and only the others go through the merges, once per distinct pre-token and worker as
 long as the bounded memory of known counts has room.
 
-The own splitting covers texts below U+0250, where normalisation, lower case and letter classes are fixed and known;
+The own splitting covers texts below U+0180, where normalisation, lower case and letter classes are fixed and known;
 a text beyond goes through the library as a whole.  Special strings inside texts count as one token each, as the
 library's default has it.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from flowloom.llm.columns import map_batches
 
 #: Characters of the own splitting; distinct pre-tokens whose count a worker remembers.
-PLAIN, MOST_KNOWN = 0x250, 1 << 18
+PLAIN, MOST_KNOWN = 0x180, 1 << 18
 _BEYOND = re.compile(f"[^\\x00-\\u{PLAIN - 1:04x}]|\u0130")
 
 
