@@ -24,6 +24,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -191,32 +192,59 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, ov
     give no rows.  Words are compared in lower case without punctuation.
     """
     bound_batches(docs.sparkSession)
+    id_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
+    schema = f"doc_id {id_kind}, item_id {item_kind}, score double, question_overlap double, answer_overlap double, at_word long"
+    parts = [docs.select("doc_id", "text").mapInArrow(_finder(x, threshold, overlap, item_kind), schema) for x in _indexes(benchmark, gram, index_bytes)]
+    return reduce(DataFrame.union, parts) if parts else docs.sparkSession.createDataFrame([], schema)
+
+
+def _finder(shared, threshold: float, overlap: float, item_kind: str):
+    item = pa.int32() if item_kind == "int" else pa.int64() if item_kind == "bigint" else pa.string()
+    names = ("doc_id", "item_id", "score", "question_overlap", "answer_overlap", "at_word")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [
+                (key, *leak)
+                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+                if text
+                for leak in shared.value.leaks(text, threshold, overlap)
+            ]
+            if rows:
+                types = (batch.schema.field(0).type, item, pa.float64(), pa.float64(), pa.float64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    return run
+
+
+def _indexes(benchmark: DataFrame, gram: int, index_bytes: int) -> Iterator:
+    """Broadcast indexes that together hold all test items, each of about ``index_bytes`` of text at most."""
     answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.select("item_id", F.col("text").alias("question"), answer.alias("answer")).filter("question IS NOT NULL")
     total = items.agg(F.sum(F.length("question") + F.coalesce(F.length("answer"), F.lit(0)))).first()[0] or 0
-    blocks = max(1, math.ceil(total / index_bytes))
-    id_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {id_kind}, item_id {item_kind}, score double, question_overlap double, answer_overlap double, at_word long"
-    found = None
+    blocks = math.ceil(total / index_bytes)
     for block in range(blocks):
         mine = items.filter(F.pmod(F.xxhash64("item_id", "question"), F.lit(blocks)) == block).sort("item_id", "question")
-        index = Index([(r["item_id"], r["question"], r["answer"]) for r in mine.collect()], gram=gram)  # index_bytes on average
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        index = Index([(r["item_id"], r["question"], r["answer"]) for r in mine.collect()], gram=gram)
+        yield benchmark.sparkSession.sparkContext.broadcast(index)
+
+
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, gram: int = 5, index_bytes: int = MOST_INDEX_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, in which ``find_leaks`` finds nothing.
+
+    The decision is made where the text is read, so nothing is shuffled.
+    """
+    bound_batches(docs.sparkSession)
+    place, schema = docs.columns.index("text"), docs.schema
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def keeper(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [
-                    (key, *leak)
-                    for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                    if text
-                    for leak in shared.value.leaks(text, threshold, overlap)
-                ]
-                if rows:
-                    item = pa.int32() if item_kind == "int" else pa.int64() if item_kind == "bigint" else pa.string()
-                    types = (batch.schema.field(0).type, item, pa.float64(), pa.float64(), pa.float64(), pa.int64())
-                    names = ("doc_id", "item_id", "score", "question_overlap", "answer_overlap", "at_word")
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
-        found = part if found is None else found.union(part)
-    return found
+                clean = [not (text and shared.value.leaks(text, threshold, overlap)) for text in batch.column(place).to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return run
+
+    for shared in _indexes(benchmark, gram, index_bytes):
+        docs = docs.mapInArrow(keeper(shared), schema)
+    return docs

@@ -143,6 +143,26 @@ def identify(docs: DataFrame, model: Model, penalty: float = 6.0) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, lang_pred string, score double, mixture array<struct<lang: string, share: double>>")
 
 
+def keep_identified(docs: DataFrame, model: Model, min_share: float = 1 / 3, penalty: float = 6.0) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language with at least ``min_share`` of the mixture.
+
+    Rows that ``identify`` calls ``und`` go, and so do mixtures of so many languages that none has that share.
+    The decision is made where the text is read, so nothing is shuffled.
+    """
+    bound_batches(docs.sparkSession)
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for text in batch.column(place).to_pylist():
+                found = shared.value.languages(text.encode(), penalty) if _letters(text) else []
+                keep.append(bool(found) and found[0][1] >= min_share)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id", folds: int = 3, fold: int = 1):
     """Whether a document belongs to the held-out fold, by the checksum of its id; a null id is not held out."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))

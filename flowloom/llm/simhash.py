@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowloom.llm.columns import bound_batches, map_batches, utf8
 from flowloom.operators.components import connected_components
@@ -312,5 +313,28 @@ def simhash_groups(docs: DataFrame, width: int = 3, tau: int = 3, seed: int = 42
     return fps.join(labelled, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, groups: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``groups`` (of ``simhash_groups``) names smallest of their group.
+
+    Of repeated rows with one id one stays.  A row without an id goes if its group has an id; of groups without
+    any id, one row of each fingerprint stays.
+    """
+    ids = groups.filter("doc_id = component_id").groupBy("doc_id").count()
+    kept = docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    if ids.filter("count > 1").head(1):
+        kept = kept.dropDuplicates(["doc_id"])
+    alone = groups.filter("doc_id IS NULL AND component_id IS NULL").select(F.col("fp").alias("_fp")).distinct()
+    if alone.head(1):
+        place, schema = docs.columns.index("text"), T.StructType([*docs.schema, T.StructField("_fp", T.LongType())])
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            fps = np.array([fingerprint(t, width, seed) for t in utf8(batch.column(place))], np.uint64).view(np.int64)
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], [*batch.schema.names, "_fp"])
+
+        nameless = map_batches(docs.filter("doc_id IS NULL"), run, schema)
+        kept = kept.union(nameless.join(alone, "_fp", "left_semi").dropDuplicates(["_fp"]).select(docs.columns))
+    return kept
+
+
 def hex_fingerprint(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")

@@ -1,0 +1,86 @@
+import itertools
+import math
+import zlib
+
+import numpy as np
+import pytest
+
+from flowloom.llm import languages as la
+from flowloom.llm.queries import QUERIES
+
+
+@pytest.fixture(scope="module")
+def model(documents):
+    return la.train(documents.filter(~la.held_out()))
+
+
+def test_held_out_accuracy(spark, sf, documents):
+    rows = {r["doc_id"]: r for r in QUERIES["op10_language_mixture"](spark, sf).collect()}
+    docs = documents.collect()
+    assert len(rows) == len(docs)
+    assert all(rows[d["doc_id"]]["held_out"] == (zlib.crc32(str(d["doc_id"]).encode()) % 3 == 1) for d in docs)
+    held = [d for d in docs if rows[d["doc_id"]]["held_out"] and d["lang"]]
+    right = sum(rows[d["doc_id"]]["lang_pred"] == d["lang"] for d in held)
+    assert right / len(held) > 0.97
+    assert all(0 <= r["score"] <= 1 for r in rows.values())
+
+
+def test_held_out_labels_teach_nothing(documents, model):
+    from pyspark.sql import functions as F
+
+    blind = documents.withColumn("lang", F.when(la.held_out(), "zz").otherwise(F.col("lang"))).withColumn("text", F.when(la.held_out(), "qqq").otherwise(F.col("text")))
+    again = la.train(blind.filter(~la.held_out()))
+    assert again.names == model.names and np.array_equal(again.prob, model.prob)
+
+
+def test_counts_cover_all_training_texts(documents, model):
+    per = {}
+    for r in documents.filter(~la.held_out()).collect():
+        if r["text"] is not None and r["lang"] is not None:
+            per[r["lang"]] = per.get(r["lang"], 0) + la.ngram_counts(r["text"].encode())
+    assert model.names == sorted(per)
+    assert np.allclose(model.prob, la.Model(model.names, np.array([per[k] for k in model.names])).prob)
+
+
+def test_mixtures_are_found(documents, model):
+    rows = {}
+    for r in documents.filter("n_chars BETWEEN 2000 AND 6000").collect():
+        rows.setdefault(r["lang"], r["text"])
+    for a, b in itertools.combinations(sorted(rows), 2):
+        text = f"{rows[a][:1500]}\n{rows[b][:1500]}".encode()
+        got = model.languages(text)
+        assert {k for k, _ in got} == {a, b} and all(0.3 < s < 0.7 for _, s in got)
+    for k, text in rows.items():
+        assert model.languages(text.encode())[0][0] == k
+
+
+def test_selection_is_the_best_penalised_set():
+    rng = np.random.default_rng(1)
+    counts = rng.random((4, la.CELLS)) ** 8 * 1000
+    model = la.Model(list("abcd"), counts)
+    for text in (b"some words in no language at all " * 3, bytes(rng.integers(97, 123, 400, dtype=np.uint8)), b"x"):
+        c = la.ngram_counts(text)
+        cells = np.flatnonzero(c)
+        cost = 6.0 + 0.5 * math.log(c.sum())
+        value = {}
+        for n in (1, 2, 3, 4):
+            for s in itertools.combinations(range(4), n):
+                value[s] = model.mixture(c[cells].astype(float), model.prob[cells][:, list(s)], rounds=500, close=1e-9)[1] - cost * (n - 1)
+        got = tuple(sorted("abcd".index(k) for k, _ in model.languages(text)))
+        assert value[got] >= max(value.values()) - 2.0
+
+
+def test_edge_rows(docs_of, model):
+    rows = [(1, None), (2, ""), (3, "123 !!! ²"), (4, "漢字"), (None, "the and of"), (5, "the and of"), (5, "the and of"), (6, "the " * 300000), (7, "x")]
+    got = la.identify(docs_of(rows), model).collect()
+    by = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in got}
+    assert len(got) == len(rows)
+    assert by[1] == by[2] == by[3] == ("und", 0.0)
+    assert by[4][0] in model.names and by[5] == by[None] and by[6][0] == "en"
+    assert la.identify(docs_of([]), model).collect() == []
+
+
+def test_no_training_rows(docs_of):
+    empty = la.train(docs_of([(1, None, "en"), (2, "text", None)]))
+    assert empty.names == []
+    assert [(r["lang_pred"], r["score"]) for r in la.identify(docs_of([(1, "text")]), empty).collect()] == [("und", 0.0)]
