@@ -5,8 +5,9 @@ divided by the item's own score as a query, so an item scores 1 against its own
 Every training text is cut into passages that overlap by half and are long enough to hold any item whole.  A
 passage is a query of distinct terms:
 
-* the sum of its terms' largest weights bounds every item's score; below the threshold nothing is looked up.  For
-  all passages of a text these bounds are differences of one running sum;
+* the items are divided into RANGES ranges of consecutive items, and a table has each term's largest weight in each
+  range.  The sum of the passage's rows of this table bounds every item's score; where no range reaches the
+  threshold, which holds for nearly all passages, no posting list is looked up;
 * otherwise block-max WAND walks the posting lists in item order: terms are added up in order of their next item
   until their bounds reach the threshold, the item reached is the pivot, and where the bounds of the blocks around
   the pivot stay below, the walk skips past the shortest of these blocks;
@@ -25,7 +26,6 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,8 @@ from flowloom.llm.columns import bound_batches
 
 #: Text of the test items in one index, which is sent to every task.
 MOST_INDEX_BYTES = 8 << 20
+#: Ranges of items, and bytes, of the table of largest weights.
+RANGES, MOST_TABLE_BYTES = 64, 64 << 20
 _WORD = re.compile(r"\w+")
 
 
@@ -88,11 +90,15 @@ class Index:
                 entries[t].append((i, w / own))
         self.number = {t: j for j, t in enumerate(entries)}
         self.postings = [Postings(e, block) for e in entries.values()]
-        self.tops = np.array([max(p.weights) for p in self.postings] + [0.0])
+        self.tops = [max(p.weights) for p in self.postings]
+        ranges = max(1, min(RANGES, n, MOST_TABLE_BYTES // (8 * max(len(entries), 1))))
+        self.table = np.zeros((len(entries), ranges))
+        for t, p in enumerate(self.postings):
+            np.maximum.at(self.table[t], np.array(p.items) * ranges // n, p.weights)
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items that score at or above the threshold for a query of distinct terms, by block-max WAND."""
-        lists = [(self.postings[t], float(self.tops[t])) for t in terms]
+        lists = [(self.postings[t], self.tops[t]) for t in terms]
         at = [0] * len(lists)
         order, found = list(range(len(lists))), []
         least = threshold - 1e-9
@@ -141,16 +147,13 @@ class Index:
         words = words_of(text)
         if not words or not self.postings:
             return []
-        none = len(self.postings)
-        terms = np.fromiter(map(self.number.get, words, repeat(none)), np.int64, len(words))
-        upto = np.concatenate([[0.0], np.cumsum(self.tops[terms])])
+        terms = list(map(self.number.get, words))
         size, step = 2 * self.longest, self.longest
-        begin = np.arange(0, max(len(words) - self.longest, 1), step)
-        bound = upto[np.minimum(begin + size, len(words))] - upto[begin]
         best: dict[int, tuple] = {}
-        for at in begin[bound >= threshold - 1e-6].tolist():
-            query = set(terms[at : at + size].tolist()) - {none}
-            if sum(self.tops[t] for t in query) < threshold - 1e-6:
+        for at in range(0, max(len(words) - self.longest, 1), step):
+            query = set(terms[at : at + size])
+            query.discard(None)
+            if not query or self.table[list(query)].sum(axis=0).max() < threshold - 1e-6:
                 continue
             grams = None
             for i, score in self.search(sorted(query), threshold):
