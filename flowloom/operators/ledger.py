@@ -3,7 +3,12 @@
 The inflow of an outgoing edge is what came in from the previous outgoing edge's block (inclusive) up to its own
 (exclusive).  So an incoming edge belongs to the first outgoing block strictly after its own, and the first outgoing
 edge of that block owns it.  The clamped balance max(0, before + inflow - out) has a closed form: the running sum
-minus its running minimum below zero.  One shuffle by (channel, node) serves all windows.
+minus its running minimum below zero.
+
+Hub accounts have far more edges than one task should sort.  So time is cut into slices of ``slice_blocks`` blocks:
+windows run over (channel, node, slice), and what a slice needs from the others (the first outgoing block later on,
+the running sum and its minimum so far) comes from one summary row per slice.  Sums and minima combine across
+slices exactly, so results do not depend on the slicing.
 """
 
 from __future__ import annotations
@@ -12,46 +17,65 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDER = ("block", "tie", "dir")
+#: About a week of blocks at 12 seconds each.
+SLICE_BLOCKS = 50_000
+SLICE = ["channel", "node", "slice"]
+_EXACT = "decimal(38,0)"
+
+
+def sliced(half: DataFrame, slice_blocks: int) -> DataFrame:
+    """Half-edges with the number of their time slice."""
+    return half.withColumn("slice", F.floor(F.col("block") / slice_blocks))
+
 
+def _inflows(half: DataFrame) -> DataFrame:
+    """``(channel, node, block, s, mx, senders)``: what is due at each outgoing block."""
+    out_block = F.when(F.col("dir") == "O", F.col("block"))
+    per_slice = half.groupBy(*SLICE).agg(F.min(out_block).alias("first_out"))
+    before = Window.partitionBy("channel", "node").orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    later = per_slice.withColumn("later", F.min("first_out").over(before)).drop("first_out")
+    # Descending order with a frame that ends before the row is incremental; a frame to the end is not.
+    after = Window.partitionBy(*SLICE).orderBy((-F.col("block")).alias("back")).rangeBetween(Window.unboundedPreceding, -1)
+    rows = half.withColumn("here", F.min(out_block).over(after)).filter("dir = 'I'").join(later, SLICE)
+    rows = rows.withColumn("due", F.coalesce("here", "later")).filter("due IS NOT NULL")
+    return rows.groupBy("channel", "node", F.col("due").alias("block")).agg(F.sum("value").alias("s"), F.max("value").alias("mx"), F.array_sort(F.collect_set("other")).alias("senders"))
 
-def ledger(half: DataFrame) -> DataFrame:
+
+def ledger(half: DataFrame, slice_blocks: int = SLICE_BLOCKS) -> DataFrame:
     """``(channel, node, block, out_rn, s_in, mx, senders, out_value, bal_before, bal)`` per outgoing edge.
 
     ``s_in`` is 0 and ``mx`` and ``senders`` are null where the window is empty; ``senders`` are distinct and
     sorted.
     """
-    node = Window.partitionBy("channel", "node")
-    later = node.orderBy((-F.col("block")).alias("back")).rangeBetween(Window.unboundedPreceding, -1)
-    due = F.when(F.col("dir") == "I", F.min(F.when(F.col("dir") == "O", F.col("block"))).over(later)).otherwise(F.col("block"))
-    placed = half.withColumn("due", due).filter("due IS NOT NULL")
-    # In one sort by due block, incoming edges first: the first outgoing edge of a block sees all that is due there.
-    at_due = Window.partitionBy("channel", "node", "due")
-    first = F.row_number().over(at_due.orderBy("dir_rank", "tie")) - F.sum((F.col("dir") == "I").cast("int")).over(at_due) == 1
-    whole = at_due.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    inflow = F.when(F.col("dir") == "I", F.col("value"))
-    rows = (
-        placed.withColumn("dir_rank", F.when(F.col("dir") == "I", 0).otherwise(1))
-        .withColumn("first", first)
-        .withColumn("_s", F.sum(inflow).over(whole))
-        .withColumn("_m", F.max(inflow).over(whole))
-        .withColumn("_w", F.collect_set(F.when(F.col("dir") == "I", F.col("other"))).over(whole))
-        .filter("dir = 'O'")
-    )
-    owned = F.when(F.col("first"), F.col("_s"))
-    rows = rows.select(
-        "channel",
-        "node",
+    half = sliced(half, slice_blocks)
+    in_block = Window.partitionBy(*SLICE, "block").orderBy("tie")
+    outs = half.filter("dir = 'O'").withColumn("owns", F.row_number().over(in_block) == 1)
+    rows = outs.join(_inflows(half), ["channel", "node", "block"], "left").select(
+        *SLICE,
         "block",
         "tie",
-        F.coalesce(owned, F.lit(0)).cast("decimal(38,0)").alias("s_in"),
-        F.when(F.col("first"), F.col("_m")).alias("mx"),
-        F.when(owned.isNotNull(), F.array_sort("_w")).alias("senders"),
+        F.coalesce(F.when(F.col("owns"), F.col("s")), F.lit(0)).cast(_EXACT).alias("s_in"),
+        F.when(F.col("owns"), F.col("mx")).alias("mx"),
+        F.when(F.col("owns"), F.col("senders")).alias("senders"),
         F.col("value").alias("out_value"),
     )
-    run = node.orderBy("block", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = F.sum((F.col("s_in") - F.col("out_value")).cast("decimal(38,0)")).over(run)
-    rows = rows.withColumn("_t", total).withColumn("bal", (F.col("_t") - F.least(F.lit(0), F.min("_t").over(run))).cast("decimal(38,0)"))
-    in_order = node.orderBy("block", "tie")
-    return rows.withColumn("bal_before", F.coalesce(F.lag("bal").over(in_order), F.lit(0)).cast("decimal(38,0)")).select(
-        "channel", "node", "block", F.row_number().over(in_order).alias("out_rn"), "s_in", "mx", "senders", "out_value", "bal_before", "bal"
+    in_order = Window.partitionBy(*SLICE).orderBy("block", "tie")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("run", F.sum((F.col("s_in") - F.col("out_value")).cast(_EXACT)).over(so_far).cast(_EXACT))
+    rows = rows.withColumn("low", F.min("run").over(so_far)).withColumn("n", F.row_number().over(in_order))
+    rows = rows.withColumn("run0", F.lag("run").over(in_order)).withColumn("low0", F.lag("low").over(in_order))
+    per_slice = rows.groupBy(*SLICE).agg(F.max_by("run", "n").alias("total"), F.min("run").alias("least"), F.max("n").alias("rows"))
+    earlier = Window.partitionBy("channel", "node").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast(_EXACT)
+    carry = per_slice.withColumn("base", F.coalesce(F.sum("total").over(earlier), zero).cast(_EXACT)).withColumn("n0", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
+    floor = F.min((F.col("base") + F.col("least")).cast(_EXACT)).over(earlier)
+    carry = carry.withColumn("floor", F.least(zero, F.coalesce(floor, zero))).select(*SLICE, "base", "n0", "floor")
+
+    def balance(run: str, low: str):
+        run_, low_ = (F.coalesce(F.col("base") + F.col(c), F.col("base")) for c in (run, low))
+        return (run_ - F.least(F.col("floor"), low_)).cast(_EXACT)
+
+    before = F.when(F.col("run0").isNull(), F.col("base") - F.col("floor")).otherwise(balance("run0", "low0")).cast(_EXACT)
+    return rows.join(carry, SLICE).select(
+        "channel", "node", "block", (F.col("n") + F.col("n0")).alias("out_rn"), "s_in", "mx", "senders", "out_value", before.alias("bal_before"), balance("run", "low").alias("bal")
     )

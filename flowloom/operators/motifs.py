@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.rules import covers_outflow, joined, relays
 from flowloom.operators.components import group_components
-from flowloom.operators.ledger import ORDER
+from flowloom.operators.ledger import ORDER, SLICE, SLICE_BLOCKS, sliced
 from flowloom.operators.model import NATIVE, half_edges
 
 
@@ -43,12 +43,18 @@ def deposit_side_groups(ledger: DataFrame) -> DataFrame:
 # --- relays: what comes in goes straight out again
 
 
-def relay_pairs(half: DataFrame, rule: str = "ratio") -> DataFrame:
+def relay_pairs(half: DataFrame, rule: str = "ratio", slice_blocks: int = SLICE_BLOCKS) -> DataFrame:
     """``(channel, mid, src, dst, vin, vout)``: an incoming edge directly followed by an outgoing one of about the
-    same value (``ratio``) or exactly the same (``equal``)."""
-    w = Window.partitionBy("channel", "node").orderBy(*ORDER)
-    after = F.lead(F.struct("dir", "other", "value")).over(w)
-    pairs = half.withColumn("n", after).filter("dir = 'I' AND n.dir = 'O'")
+    same value (``ratio``) or exactly the same (``equal``).
+
+    Neighbours are found within time slices; the last edge of a slice is followed by the first of the node's next.
+    """
+    half = sliced(half, slice_blocks)
+    step = F.struct("dir", "other", "value")
+    rows = half.withColumn("n", F.lead(step).over(Window.partitionBy(*SLICE).orderBy(*ORDER)))
+    first = half.groupBy(*SLICE).agg(F.min_by(step, F.struct(*ORDER)).alias("f"))
+    then = first.select(*SLICE, F.lead("f").over(Window.partitionBy("channel", "node").orderBy("slice")).alias("f"))
+    pairs = rows.filter("dir = 'I' AND (n IS NULL OR n.dir = 'O')").join(then, SLICE).withColumn("n", F.coalesce("n", "f")).filter("n.dir = 'O'")
     pairs = pairs.select("channel", F.col("node").alias("mid"), F.col("other").alias("src"), F.col("n.other").alias("dst"), F.col("value").alias("vin"), F.col("n.value").alias("vout"))
     return pairs.filter(relays(F.col("vin"), F.col("vout")) if rule == "ratio" else F.col("vin") == F.col("vout"))
 
@@ -78,10 +84,10 @@ def relay_recipient_groups(pairs: DataFrame) -> DataFrame:
     return _groups(pairs, F.array("mid", "dst"))
 
 
-def airdrop_groups(half: DataFrame) -> DataFrame:
+def airdrop_groups(half: DataFrame, slice_blocks: int = SLICE_BLOCKS) -> DataFrame:
     """Token channels only: parallel relays of one exact value, and relays with their recipients."""
     token = half.filter(F.col("channel") != NATIVE)
-    ratio = relay_pairs(token)
+    ratio = relay_pairs(token, slice_blocks=slice_blocks)
     exact = ratio.filter("vin = vout")
     return parallel_relay_groups(exact, same_value=True).union(relay_recipient_groups(ratio)).distinct()
 
@@ -89,22 +95,30 @@ def airdrop_groups(half: DataFrame) -> DataFrame:
 # --- deposit reuse: a sender whose deposit address forwards to an exchange
 
 
-def deposit_reuse_groups(transfers: DataFrame, exchanges: DataFrame, miners: DataFrame, max_blocks: int = 3200, max_excess: int = 10**16) -> DataFrame:
+def deposit_reuse_groups(
+    transfers: DataFrame, exchanges: DataFrame, miners: DataFrame, max_blocks: int = 3200, max_excess: int = 10**16, slice_blocks: int = SLICE_BLOCKS
+) -> DataFrame:
     """Sender and deposit address: the deposit address, no exchange itself, pays an exchange fewer than
     ``max_blocks`` blocks before the sender's transfer or at any time after it, and at most ``max_excess`` less;
     the sender is neither exchange nor miner.  ``exchanges`` and ``miners`` have ``address``.
 
-    That such a payment exists is a running maximum over the node's edges, so no edges are paired.  Zero values
-    count in token channels only.
+    That such a payment exists is a maximum over the node's payments from some block on, so no edges are paired:
+    within a time slice it is a running maximum, and over the later slices it comes from one summary row per slice.
+    Zero values count in token channels only.
     """
     ex, mi = (d.select(F.col("address").alias("a")).filter("a IS NOT NULL").distinct() for d in (exchanges, miners))
     half = half_edges(transfers, keep_zero=True).filter("channel <> '' OR value <> 0")
     half = half.join(ex.withColumnRenamed("a", "node"), "node", "left_anti")
     half = half.join(ex.withColumn("is_ex", F.lit(True)).withColumnRenamed("a", "other"), "other", "left")
-    w = Window.partitionBy("channel", "node").orderBy((-F.col("block")).alias("back")).rangeBetween(Window.unboundedPreceding, max_blocks - 1)
-    paid = F.max(F.when((F.col("dir") == "O") & F.col("is_ex"), F.col("value"))).over(w)
-    hits = half.withColumn("paid", paid).filter("dir = 'I' AND is_ex IS NULL AND node <> other")
-    hits = hits.filter(F.col("value") - F.col("paid") <= max_excess)
+    half = half.filter("(dir = 'O' AND is_ex) OR (dir = 'I' AND is_ex IS NULL AND node <> other)")
+    since = F.when(F.col("dir") == "O", F.col("block")).otherwise(F.col("block") - (max_blocks - 1))
+    half = half.withColumn("at", since).withColumn("slice", F.floor(F.col("at") / slice_blocks))
+    payment = F.when(F.col("dir") == "O", F.col("value"))
+    here = Window.partitionBy(*SLICE).orderBy((-F.col("at")).alias("back")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("channel", "node").orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    later = half.groupBy(*SLICE).agg(F.max(payment).alias("top")).withColumn("later", F.max("top").over(before)).drop("top")
+    rows = half.withColumn("paid", F.max(payment).over(here)).filter("dir = 'I'").join(later, SLICE)
+    hits = rows.filter(F.col("value") - F.greatest("paid", "later") <= max_excess)
     hits = hits.join(mi.withColumnRenamed("a", "other"), "other", "left_anti")
     return _groups(hits, F.array("node", "other"))
 

@@ -15,7 +15,7 @@ from flowloom.sources import readers, writers
 #: Parameters of the registered queries: nodes of the derived graph and limits that its values call for.
 NODES = 64
 EXCHANGES, MINERS = [f"a{i}" for i in range(8)], [f"a{i}" for i in range(8, 12)]
-MAX_DAYS, MAX_CENTS = 30, 100_000
+MAX_DAYS, MAX_CENTS, SLICE_DAYS = 30, 100_000, 512
 SEEDS, CLUSTERED, HOPS = ["a3", "a17", "a40"], [f"a{i}" for i in range(0, 64, 5)], (8, 16)
 
 
@@ -49,11 +49,11 @@ def _half(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _relays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return motifs.relay_pairs(_half(spark, sf_dir))
+    return motifs.relay_pairs(_half(spark, sf_dir), slice_blocks=SLICE_DAYS)
 
 
 def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger(_half(spark, sf_dir))
+    return ledger(_half(spark, sf_dir), SLICE_DAYS)
 
 
 def _sg1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def _sg2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return motifs.deposit_reuse_groups(transfers(spark, sf_dir), _ids(spark, EXCHANGES, "address"), _ids(spark, MINERS, "address"), MAX_DAYS, MAX_CENTS)
+    return motifs.deposit_reuse_groups(transfers(spark, sf_dir), _ids(spark, EXCHANGES, "address"), _ids(spark, MINERS, "address"), MAX_DAYS, MAX_CENTS, SLICE_DAYS)
 
 
 def _small_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +148,7 @@ def deposit_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def airdrop_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return motifs.airdrop_groups(_half(spark, sf_dir))
+    return motifs.airdrop_groups(_half(spark, sf_dir), SLICE_DAYS)
 
 
 def deposit_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:

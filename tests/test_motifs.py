@@ -112,17 +112,18 @@ def test_against_loops(spark, seed):
     edges = [(node(), node(), rng.randint(0, 60), rng.choice([0, 1, 5, 9, 10, 10, 11, 100, 110]), rng.choice(["ET", "SCC", "TT", "TT"]), rng.choice(["t0", "t1"])) for _ in range(900)]
     want, g = loop_groups(edges), graph(spark, edges)
     half = model.half_edges(g)
-    led = ledger(half)
+    slices = (1, 7, 20, 1000)[seed]
+    led = ledger(half, slices)
     got = {(r["channel"], r["node"], r["out_rn"]): (set(r["senders"] or []), int(r["mx"] or 0), int(r["s_in"]), int(r["out_value"]), int(r["bal_before"]), int(r["bal"])) for r in led.collect()}
     assert got == {(c, n, i + 1): row for c, es in channels(edges).items() for n, h in halves(es).items() for i, row in enumerate(loop_ledger(h))}
-    relays = motifs.relay_pairs(half)
+    relays = motifs.relay_pairs(half, slice_blocks=slices)
     assert members(motifs.codeposit_groups(led)) == want["sg1"]
     assert members(motifs.codeposit_groups(led, strict=False)) == want["sg1_loose"]
     assert members(motifs.deposit_side_groups(led)) == want["deposit"]
     assert members(motifs.parallel_relay_groups(relays)) == want["sg2"]
     assert members(motifs.parallel_relay_groups(relays, strict=False)) == want["sg2_loose"]
     assert members(motifs.relay_recipient_groups(relays)) == want["recipient"]
-    assert members(motifs.airdrop_groups(half)) == want["airdrop"] and any(want.values())
+    assert members(motifs.airdrop_groups(half, slices)) == want["airdrop"] and any(want.values())
     star = motifs.parallel_relay_links(relays).selectExpr("channel", "concat(a, ',', b) AS members")
     assert {tuple(r) for r in motifs.group_clusters(star).collect()} == {tuple(r) for r in motifs.group_clusters(motifs.parallel_relay_groups(relays)).collect()}
 
@@ -210,6 +211,22 @@ def test_deposit_reuse_cases(spark, edges, hit):
     assert got == ({("d", "x")} if hit else set())
 
 
+@pytest.mark.parametrize("slices", [1, 9, 1000])
+def test_deposit_reuse_against_pairs(spark, slices):
+    rng = random.Random(slices)
+    node = lambda: f"n{rng.randint(0, 9)}"
+    edges = [(node(), node(), rng.randint(0, 80), rng.choice([0, 1, 5, 10, 100]), rng.choice(["ET", "TT"]), "t0") for _ in range(500)]
+    ex, mi = {"n0", "n1"}, {"n2"}
+    want = set()
+    for c, es in channels(edges).items():
+        es = [e for e in es if c or e[3]]
+        for x, d, b, v, _ in es:
+            if x != d and d not in ex and x not in ex | mi and any(s == d and e in ex and b - ob < 7 and v - ov <= 4 for s, e, ob, ov, _ in es):
+                want.add((c, tuple(sorted((x, d)))))
+    ids = lambda x: spark.createDataFrame([(i,) for i in x], "address string")
+    assert members(motifs.deposit_reuse_groups(graph(spark, edges), ids(ex), ids(mi), 7, 4, slices)) == want and want
+
+
 def test_deposit_reuse_zero_values(spark):
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "address string")
     edges = parse("d→E@1:0, x→d@1:0")
