@@ -3,7 +3,7 @@ from flowloom.llm import decontaminate as dc
 from flowloom.llm import simhash
 
 from .test_mixing import check as check_mix
-from .test_simhash import slow_components, slow_fingerprint
+from .test_simhash import same_similar
 
 
 def test_each_stage_against_brute_force(spark, sf, documents):
@@ -16,10 +16,12 @@ def test_each_stage_against_brute_force(spark, sf, documents):
 
     docs = kept
     rows = docs.collect()
-    low = slow_components([r["doc_id"] for r in rows], [slow_fingerprint(r["text"]) for r in rows])
+    groups = simhash.similar_groups(docs).collect()
+    same_similar(groups, [(r["doc_id"], r["text"]) for r in rows])
     docs = stages["near_duplicates"](spark, docs, sf)
     assert docs.columns == documents.columns
-    assert sorted(r["doc_id"] for r in docs.collect()) == sorted(set(low)) and len(set(low)) < len(rows)
+    low = {r["component_id"] for r in groups}
+    assert sorted(r["doc_id"] for r in docs.collect()) == sorted(low) and len(low) < len(rows)
 
     rows = docs.collect()
     items = [" ".join(dc.words_of(r["text"])) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
@@ -42,5 +44,5 @@ def test_stages_on_edge_rows(spark, sf, docs_of):
             if name != "source_mix":
                 assert out.columns == docs.columns
             out.collect()
-    kept = simhash.keep_one(docs_of(rows), simhash.simhash_groups(docs_of(rows))).collect()
+    kept = simhash.keep_one(docs_of(rows), simhash.similar_groups(docs_of(rows))).collect()
     assert sorted(str((r["doc_id"], r["text"][:10] if r["text"] else r["text"])) for r in kept) == sorted(map(str, [(1, None), (3, "the and of"), (5, "long long "), (None, "la que de")]))
