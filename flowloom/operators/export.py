@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from flowloom.storage import materialize
 
+#: Fixed values of the export format: labels of the first seed, other seeds, nodes in clusters and all others.
+SOURCE, SEED, CLUSTERED, OTHER = "sourceNode", "imporNode", "clusterNode", "otherNode"
+
 
 def _top(edges: DataFrame, near: DataFrame, at: str, far: str, limit: int, dedup: bool) -> DataFrame:
     """The ``limit`` most frequent far ends of the edges at the near nodes; ties go to the smaller id."""
@@ -42,7 +45,7 @@ def layered_neighbourhood(transfers: DataFrame, seeds: DataFrame, clusters: Data
     source = seed.orderBy("rank", "id").limit(1).select("id", F.lit(True).alias("is_source"))
     known = clusters.select("id").distinct().withColumn("in_cluster", F.lit(True))
     label = (
-        F.when(F.col("is_seed") & F.col("is_source"), "sourceNode").when(F.col("is_seed"), "imporNode").when(F.col("in_cluster"), "clusterNode").otherwise("otherNode")
+        F.when(F.col("is_seed") & F.col("is_source"), SOURCE).when(F.col("is_seed"), SEED).when(F.col("in_cluster"), CLUSTERED).otherwise(OTHER)
     )
     nodes = every.join(source, "id", "left").join(known, "id", "left").select(F.col("shown").alias("id"), label.alias("label"), "layer")
 

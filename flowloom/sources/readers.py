@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.rules import addresses
 
+#: Fixed values of the chat log format: what a user's and a model's turn begin with.
+USER_MARK, MODEL_MARK = "You: ", "Ollama: "
+
 
 def address_list(spark: SparkSession, path: str) -> DataFrame:
     """``(id)``: one address per line, trimmed; blank lines are skipped."""
@@ -62,7 +65,7 @@ def extracted_addresses(cells: DataFrame) -> DataFrame:
     return rows.groupBy("address").agg(F.min("position").alias("position"))
 
 
-def chat_turns(lines: DataFrame, user: str = "You: ", model: str = "Ollama: ", log: str = "log") -> DataFrame:
+def chat_turns(lines: DataFrame, user: str = USER_MARK, model: str = MODEL_MARK, log: str = "log") -> DataFrame:
     """``(log, turn, role, text)`` from ``lines(log, line_no, line)`` of marked multi-line records.
 
     A marked line opens a turn and the lines up to the next mark belong to it.  A user turn counts if a model turn

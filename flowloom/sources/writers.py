@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.sources.readers import MODEL_MARK, USER_MARK
+
 
 def group_lines(groups: DataFrame, path: str) -> None:
     """Groups as comma-joined lines."""
@@ -49,7 +51,7 @@ def csv_rows(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
 
-def chat_lines(turns: DataFrame, path: str, user: str = "You: ", model: str = "Ollama: ") -> None:
+def chat_lines(turns: DataFrame, path: str, user: str = USER_MARK, model: str = MODEL_MARK) -> None:
     """Turns ``(log, turn, role, text)`` as marked records, in order within a log's folder."""
     mark = F.when(F.col("role") == "user", user).otherwise(model)
     rows = turns.repartition("log").sortWithinPartitions("log", "turn").select("log", F.concat(mark, F.col("text")).alias("value"))
