@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -31,6 +32,21 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+def share(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Broadcast a value of bounded size; the function gives it back on executors, unpacked once per task.
+
+    It is packed by value, like the functions that use it, so executors need not have its class installed.
+    """
+    sent, held = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []
+
+    def get() -> object:
+        if not held:
+            held.append(cloudpickle.loads(sent.value))
+        return held[0]
+
+    return get
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The strings of a column as UTF-8 bytes, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.columns import bound_batches
+from flowloom.llm.columns import bound_batches, share
 
 #: Text of the test items in one index, which is sent to every task.
 MOST_INDEX_BYTES = 8 << 20
@@ -211,7 +211,7 @@ def _finder(shared, threshold: float, overlap: float, item_kind: str):
                 (key, *leak)
                 for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
                 if text
-                for leak in shared.value.leaks(text, threshold, overlap)
+                for leak in shared().leaks(text, threshold, overlap)
             ]
             if rows:
                 types = (batch.schema.field(0).type, item, pa.float64(), pa.float64(), pa.float64(), pa.int64())
@@ -229,7 +229,7 @@ def _indexes(benchmark: DataFrame, gram: int, index_bytes: int) -> Iterator:
     for block in range(blocks):
         mine = items.filter(F.pmod(F.xxhash64("item_id", "question"), F.lit(blocks)) == block).sort("item_id", "question")
         index = Index([(r["item_id"], r["question"], r["answer"]) for r in mine.collect()], gram=gram)
-        yield benchmark.sparkSession.sparkContext.broadcast(index)
+        yield share(benchmark.sparkSession, index)
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, gram: int = 5, index_bytes: int = MOST_INDEX_BYTES) -> DataFrame:
@@ -243,7 +243,7 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, o
     def keeper(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                clean = [not (text and shared.value.leaks(text, threshold, overlap)) for text in batch.column(place).to_pylist()]
+                clean = [not (text and shared().leaks(text, threshold, overlap)) for text in batch.column(place).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         return run

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.columns import bound_batches, map_batches, utf8
+from flowloom.llm.columns import bound_batches, map_batches, share, utf8
 
 #: Cells of the hashed n-grams; more languages than this would make the model too large to send to every task.
 CELLS, MOST_LANGUAGES = 1 << 15, 256
@@ -130,12 +130,12 @@ def identify(docs: DataFrame, model: Model, penalty: float = 6.0) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     entry = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST_LANGUAGES x CELLS numbers at most
+    shared = share(docs.sparkSession, model)  # MOST_LANGUAGES x CELLS numbers at most
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = []
         for text, data in zip(batch.column(1).to_pylist(), utf8(batch.column(1)), strict=True):
-            found.append(shared.value.languages(data, penalty) if _letters(text) else [])
+            found.append(shared().languages(data, penalty) if _letters(text) else [])
         best = [m[0] if m else ("und", 0.0) for m in found]
         mixture = pa.array([[{"lang": k, "share": v} for k, v in m] for m in found], entry)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([b[0] for b in best], pa.string()), pa.array([b[1] for b in best], pa.float64()), mixture], ["doc_id", "lang_pred", "score", "mixture"])
@@ -150,13 +150,13 @@ def keep_identified(docs: DataFrame, model: Model, min_share: float = 1 / 3, pen
     The decision is made where the text is read, so nothing is shuffled.
     """
     bound_batches(docs.sparkSession)
-    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    shared, place = share(docs.sparkSession, model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for text in batch.column(place).to_pylist():
-                found = shared.value.languages(text.encode(), penalty) if _letters(text) else []
+                found = shared().languages(text.encode(), penalty) if _letters(text) else []
                 keep.append(bool(found) and found[0][1] >= min_share)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
