@@ -7,7 +7,7 @@ is one that adaptive execution may split.  The number of rounds is logarithmic i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from flowloom.storage import materialize
@@ -36,9 +36,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return _canonical(moved.union(low.toDF("a", "b")))
 
 
-def _signature(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-    return row[0], row[1]
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a written table, with a count and a checksum observed while they are written."""
+    seen = Observation()
+    checksum = F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))
+    table = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), checksum.alias("sum")), "cc")
+    return table, (seen.get["n"], seen.get["sum"])
 
 
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
@@ -47,11 +50,9 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     Loops, repeated edges and edges with a null end are allowed and add nothing.  An edge table without proper
     edges gives no rows.
     """
-    now = materialize(_canonical(edges.select(F.col(left).alias("a"), F.col(right).alias("b"))), "cc")
-    signature = _signature(now)
+    now, signature = _written(_canonical(edges.select(F.col(left).alias("a"), F.col(right).alias("b"))))
     while signature[0]:
-        now = materialize(_small_star(_large_star(now)), "cc")
-        before, signature = signature, _signature(now)
+        before, (now, signature) = signature, _written(_small_star(_large_star(now)))
         if before == signature:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
