@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from flowloom.llm import chat, decontaminate, languages, licenses, matroska, mixing, simhash, tokens, url_filter, warc
@@ -95,6 +97,21 @@ def _fits(rule: str) -> str:
     return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}')"
 
 
+_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WINDOW, _SHARE = 128, 0.95
+
+
+def _places(phrase: str, label: str) -> str:
+    words = phrase.split()
+    same = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(words, 1))
+    return f"SELECT doc_id, unnest(list_filter(range(len(w)), lambda i: {same})) AS pos, '{label}' AS label FROM d"
+
+
+def _templates() -> str:
+    rows = (f"({sorted(set(words))}, '{label}')" for words, label in ((re.findall("[a-z0-9]+", t), x) for t, x in licenses.TEMPLATES.items()))
+    return ", ".join(rows)
+
+
 _BY_LENGTH = sorted(ALLOW_RULES + BLOCK_RULES, key=len, reverse=True)
 
 SQL: dict[str, str] = {
@@ -146,4 +163,29 @@ WITH p AS (
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> last THEN last END AS refers_to
 FROM d""",
+    "op9_license_scan": f"""
+WITH d AS (
+  SELECT doc_id, t, regexp_extract_all(t, '{_WORDS}') AS w
+  FROM (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents)
+), places AS (
+  {" UNION ALL ".join(_places(p, x) for p, x in licenses.PHRASES.items())}
+), base AS (
+  SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS found FROM places GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, regexp_extract_all(line, '{_WORDS}') AS w FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
+), blocks AS (
+  SELECT doc_id, w AS b FROM lines WHERE len(w) BETWEEN 1 AND {_WINDOW}
+  UNION ALL SELECT doc_id, w[pos + 1 : pos + {_WINDOW}] FROM (
+    SELECT doc_id, w, unnest(range(0, len(w) - {_WINDOW // 2}, {_WINDOW // 2})) AS pos FROM lines WHERE len(w) > {_WINDOW})
+), templates AS (SELECT * FROM (VALUES {_templates()}) v(tw, label)
+), matches AS (
+  SELECT doc_id, label, len(list_intersect(list_distinct(b), tw)) / len(tw) AS share FROM blocks, templates
+), own AS (
+  SELECT doc_id, list(DISTINCT label) AS found, max(share) AS share FROM matches WHERE share >= {_SHARE} - 1e-9 GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(array_to_string(list_sort(base.found), ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.found, []), coalesce(own.found, [])))), ',') AS labels,
+  (CASE WHEN n_base > 0 THEN 1 ELSE coalesce(own.share, 0) END)::DOUBLE AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN own USING (doc_id)""",
 }
