@@ -186,7 +186,7 @@ def _skip(items: list[int], at: int, to: int) -> int:
     return low
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, gram: int = 5, index_bytes: int = MOST_INDEX_BYTES) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.5, gram: int = 5, index_bytes: int = MOST_INDEX_BYTES) -> DataFrame:
     """``(doc_id, item_id, score, question_overlap, answer_overlap, at_word)`` for every verified pair.
 
     ``docs`` needs ``doc_id`` and ``text``; ``benchmark`` needs ``item_id`` and ``text`` and may have ``answer``;
@@ -232,7 +232,7 @@ def _indexes(benchmark: DataFrame, gram: int, index_bytes: int) -> Iterator:
         yield share(benchmark.sparkSession, index)
 
 
-def drop_leaked(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, gram: int = 5, index_bytes: int = MOST_INDEX_BYTES) -> DataFrame:
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.5, gram: int = 5, index_bytes: int = MOST_INDEX_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns, in which ``find_leaks`` finds nothing.
 
     The decision is made where the text is read, so nothing is shuffled.
