@@ -22,17 +22,28 @@ def _canonical(pairs: DataFrame) -> DataFrame:
     )
 
 
+def _with_low(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """Edges ``(u, v)`` with the ``m`` of their ``u``.
+
+    The second key keeps the join from running where ``low`` was aggregated: both sides are shuffled for the join
+    alone, and adaptive execution can then split the rows of a hub.
+    """
+    key = F.xxhash64("u").alias("k")
+    return edges.select("u", "v", key).join(low.select("u", "m", key), ["u", "k"]).select("u", "v", "m")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour (or the node itself)."""
     both = edges.union(edges.select("b", "a")).toDF("u", "v")
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return _canonical(both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")))
+    return _canonical(_with_low(both.filter("v > u"), low).select(F.col("v").alias("a"), F.col("m").alias("b")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them."""
-    low = edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-    moved = edges.join(low, edges["a"] == low["u"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    down = edges.toDF("u", "v")
+    low = down.groupBy("u").agg(F.min("v").alias("m"))
+    moved = _with_low(down, low).select(F.col("v").alias("a"), F.col("m").alias("b"))
     return _canonical(moved.union(low.toDF("a", "b")))
 
 
