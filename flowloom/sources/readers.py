@@ -25,12 +25,16 @@ def dimension(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
     """``(path, row_id, value)``: lines with their 1-based numbers in each file.
 
-    Files come as whole rows and are split there, so a line number needs no order across tasks; each file is a
-    bounded piece of input, as these row files are.
+    A line's number is its place in its split of the file and the lines of the splits before, so large files are
+    read by many tasks; only one row per split is gathered by file.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    lines = files.select("path", F.posexplode(F.split("value", "\r?\n")).alias("n", "value"))
-    return lines.select("path", (F.col("n") + 1).cast("long").alias("row_id"), "value")
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select("value", meta["file_path"].alias("path"), meta["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("at"))
+    lines = lines.withColumn("n", F.row_number().over(Window.partitionBy("path", "split").orderBy("at")))
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy("path", "split").agg(F.count(F.lit(1)).alias("lines"))
+    splits = splits.withColumn("base", F.coalesce(F.sum("lines").over(before), F.lit(0))).drop("lines")
+    return lines.join(splits, ["path", "split"]).select("path", (F.col("base") + F.col("n")).alias("row_id"), "value")
 
 
 def cluster_rows(spark: SparkSession, path: str) -> DataFrame:

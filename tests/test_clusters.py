@@ -118,6 +118,18 @@ def test_readers_and_writers(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "c"), header=True).count() == 3
 
 
+def test_line_numbers_across_splits(spark, tmp_path):
+    for f in "ab":
+        (tmp_path / f"{f}.txt").write_text("".join(f"{f}{i},x\n" for i in range(1, 5001)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = readers.cluster_rows(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert len(rows) == 10000 and all(r["members"][0][1:] == str(r["row_id"]) for r in rows)
+
+
 def test_chat_log_round_trip(spark, tmp_path):
     lines = ["noise", "You: hi", "more", "Ollama: hello", "", "You: lost", "You: again", "Ollama: yes", "Ollama: stray"]
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "log long, line_no long, line string")
