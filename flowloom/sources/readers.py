@@ -40,7 +40,7 @@ def _numbered(spark: SparkSession, path: str) -> DataFrame:
 def cluster_rows(spark: SparkSession, path: str) -> DataFrame:
     """``(row_id, members)``: comma-joined rows of unequal width; blank rows are skipped but keep their number."""
     rows = _numbered(spark, path).filter("trim(value) <> ''")
-    return rows.select("row_id", F.transform(F.split("value", ","), F.trim).alias("members"))
+    return rows.select("row_id", F.transform(F.split("value", ","), lambda x: F.trim(x)).alias("members"))
 
 
 def label_dictionary(spark: SparkSession, path: str) -> DataFrame:
