@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -20,6 +21,16 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+@contextmanager
+def wide_batches(spark: SparkSession) -> Iterator[None]:
+    """While a table of numbers is written: more rows to a batch, still limited by bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(64 * BATCH_ROWS))
+    try:
+        yield
+    finally:
+        bound_batches(spark)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` for functions that turn one batch into one batch (or none)."""
 

@@ -20,7 +20,7 @@ above, and verifies what meets by a fifth signature of 256 bits.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import islice, repeat
 
@@ -31,24 +31,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloom.llm.columns import bound_batches, map_batches, utf8
+from flowloom.llm.columns import bound_batches, map_batches, utf8, wide_batches
 from flowloom.operators.components import connected_components
 from flowloom.storage import materialize
 
 BITS = 64
-_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
+_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 #: Seconds that a probe row and a verified pair are taken to cost; only their ratio matters.
 ROW_COST, PAIR_COST = 2e-6, 2e-8
 
 
-def _majority(digests: Iterator[bytes], size: int) -> bytes:
-    """The bits set in over half of the digests, which have ``size`` bytes each."""
+def _majority(shingles: Iterator[bytes], hashes: list[tuple[Callable, int]], size: int) -> bytes:
+    """The bits set in over half of the digests, for each ``(function, seed)``; digests have ``size`` bytes."""
     offsets = np.arange(size, dtype=np.int64) * 256
-    counts, n = np.zeros((size, 8), np.int64), 0
-    while part := b"".join(islice(digests, 1 << 15)):
-        rows = np.frombuffer(part, np.uint8).reshape(-1, size)
-        n += len(rows)
-        counts += np.bincount((rows + offsets).ravel(), minlength=256 * size).reshape(size, 256) @ _BYTE_BITS
+    counts, n = np.zeros((len(hashes), size, 8)), 0
+    while some := list(islice(shingles, 1 << 15)):
+        n += len(some)
+        for k, (digest, seed) in enumerate(hashes):
+            rows = np.frombuffer(b"".join(map(digest, some, repeat(seed))), np.uint8).reshape(-1, size)
+            counts[k] += np.bincount((rows + offsets).ravel(), minlength=256 * size).reshape(size, 256) @ _BYTE_BITS
     return np.packbits(2 * counts.ravel() > n).tobytes()
 
 
@@ -64,15 +65,14 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     words = text.lower().split()
     if not words:
         return 0
-    return int.from_bytes(_majority(map(xxhash.xxh64_digest, _shingles(words, width), repeat(seed)), 8), "big")
+    return int.from_bytes(_majority(_shingles(words, width), [(xxhash.xxh64_digest, seed)], 8), "big")
 
 
 def signature(words: list[bytes], width: int) -> bytes:
     """SimHash of 256 bits."""
     if not words:
         return bytes(32)
-    both = (xxhash.xxh3_128_digest(s, 1) + xxhash.xxh3_128_digest(s, 2) for s in _shingles(words, width))
-    return _majority(both, 32)
+    return _majority(_shingles(words, width), [(xxhash.xxh3_128_digest, 1), (xxhash.xxh3_128_digest, 2)], 16)
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
@@ -325,7 +325,8 @@ def _linked(unique: DataFrame, ids: list[str], probes: list[str], words: list[st
     while True:
         bounded = any(BITS - len(bits) > tau for bits in used.values())
         dealt = rows.repartition("path", "val").sortWithinPartitions("path", "val", "fp", *ids)
-        out = materialize(dealt.mapInArrow(_link(near, 1 + len(words), len(ids), cap if bounded else None), schema), "simhash-links")
+        with wide_batches(unique.sparkSession):
+            out = materialize(dealt.mapInArrow(_link(near, 1 + len(words), len(ids), cap if bounded else None), schema), "simhash-links")
         found.append(out.filter("path IS NULL").select(ends))
         hot = out.filter("path IS NOT NULL").toDF("path", "val", *keep, *ends[len(keep) :])
         paths = [r["path"] for r in hot.select("path").distinct().collect()]  # as many as partitions used so far
