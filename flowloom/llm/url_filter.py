@@ -1,7 +1,7 @@
 """URL allow and block lists answered by a cascade of Bloom filters.
 
 A rule is a host and a path prefix, written as one key such as ``example.com/en/``.  A url has one candidate key
-for every label count and every path length that occurs in the rules: the last labels of its host and the first
+for every pair of label count and path length that occurs in the rules: the last labels of its host and the first
 characters of its path.  So a rule fits the host itself and all subdomains, and the candidates of a url are few,
 whatever its length.
 
@@ -20,14 +20,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm.columns import lower_ascii
 from flowloom.storage import materialize
 
-#: Listed keys of one segment; with up to 40 bits a key a filter has 1.3 MB at most.
-SEGMENT_KEYS, MOST_BITS = 1 << 18, 40
+#: Listed keys of one segment; with up to 40 bits a key a filter has 330 KB at most.
+SEGMENT_KEYS, MOST_BITS = 1 << 16, 40
 
 
 @dataclass(frozen=True)
@@ -98,19 +98,58 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.coalesce(lower_ascii(host), F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def candidate_keys(host: Column, path: Column, rules: list[str]) -> Column:
+def _keys(spark: SparkSession, rules: list[str] | DataFrame) -> DataFrame:
+    """Rules as distinct ``key`` rows; of a DataFrame, the first column."""
+    if isinstance(rules, DataFrame):
+        return rules.select(F.col(rules.columns[0]).alias("key")).filter("key IS NOT NULL").distinct()
+    if not rules:
+        return spark.range(0).select(F.lit("").alias("key"))
+    return spark.range(1).select(F.explode(F.array(*[F.lit(r) for r in sorted(set(rules))])).alias("key"))
+
+
+def _labels(host: Column) -> Column:
+    return F.length(host) - F.length(F.replace(host, F.lit("."))) + 1
+
+
+def rule_shapes(rules: DataFrame) -> list[tuple[int, int]]:
+    """The label counts and path lengths of the rules; a row for each pair that occurs."""
+    host = F.substring_index("key", "/", 1)
+    shapes = rules.select(_labels(host).alias("labels"), (F.length("key") - F.length(host)).alias("path"), (host == "").alias("bare")).distinct().collect()
+    if any(r["bare"] for r in shapes):
+        raise ValueError("a rule needs a host")
+    return sorted((r["labels"], r["path"]) for r in shapes)
+
+
+def candidate_keys(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
     """The keys under which a rule could fit this url."""
-    shapes = [(r.partition("/")[0].count(".") + 1, len(r) - len(r.partition("/")[0])) for r in rules]
-    labels = F.length(host) - F.length(F.replace(host, F.lit("."))) + 1
     keys = [
-        F.when((host != "") & (labels >= c) & (F.length(path) >= n), F.concat(F.substring_index(host, ".", -c), F.substring(path, F.lit(1), F.lit(n))))
-        for c in sorted({c for c, _ in shapes})
-        for n in sorted({n for _, n in shapes})
+        F.when((host != "") & (_labels(host) >= c) & (F.length(path) >= n), F.concat(F.substring_index(host, ".", -c), F.substring(path, F.lit(1), F.lit(n))))
+        for c, n in shapes
     ]
     return F.array_distinct(F.array_compact(F.array(*keys)))
 
 
-def judge_urls(pages: DataFrame, allow: list[str], block: list[str], keep: tuple[str, ...] = ("page_id",), url: str = "url", segment_keys: int = SEGMENT_KEYS) -> DataFrame:
+def _listed_among(keys: str, cascade: Cascade, segment: int, segments: int) -> Column:
+    """Those of an array of keys that the cascade of a segment finds listed."""
+
+    def test(k: Column) -> Column:
+        return _in_segment(k, segment, segments) & cascade.has(k)
+
+    return F.filter(keys, test)
+
+
+def _in_segment(key: Column, segment: int, segments: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit("segment")), F.lit(segments)) == segment
+
+
+def judge_urls(
+    pages: DataFrame,
+    allow: list[str] | DataFrame,
+    block: list[str] | DataFrame,
+    keep: tuple[str, ...] = ("page_id",),
+    url: str = "url",
+    segment_keys: int = SEGMENT_KEYS,
+) -> DataFrame:
     """``keep`` columns, ``host``, ``path``, ``rule`` and ``verdict`` of every row.
 
     The longest rule that fits decides (host characters count as well as path characters).  Where a key is in
@@ -118,32 +157,31 @@ def judge_urls(pages: DataFrame, allow: list[str], block: list[str], keep: tuple
     the verdict is ``allow``.  Null urls and urls without ``://`` have empty host and path and fit no rule.  Every
     row gets a row, repeated ones too; empty tables and empty lists are fine; other columns are ignored.
     """
-    rules = sorted({*allow, *block})
-    if any(r.startswith("/") or not r for r in rules):
-        raise ValueError("a rule needs a host")
     host, path = split_url(F.col(url))
     urls = pages.select(*keep, host.alias("host"), path.alias("path"))
-    if not rules:
+    blocked, allowed = _keys(pages.sparkSession, block), _keys(pages.sparkSession, allow)
+    shapes = rule_shapes(blocked.union(allowed))
+    if not shapes:
         return urls.select(*keep, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
-    asked = urls.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), rules))
+    asked = urls.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), shapes))
     universe = asked.select(F.explode("_keys").alias("key"))
     hits = []
-    for name, keys in (("allow", set(allow) - set(block)), ("block", set(block))):
-        segments = math.ceil(len(keys) / segment_keys)
+    for name, listed in (("block", blocked), ("allow", allowed.join(blocked, "key", "left_anti"))):
+        segments = math.ceil(listed.count() / segment_keys)
         for s in range(segments):
-            mine = F.pmod(F.xxhash64("key", F.lit("segment")), F.lit(segments)) == s
-            listed = pages.sparkSession.range(1).select(F.explode(F.array(*[F.lit(k) for k in sorted(keys)])).alias("key"))
+            mine = _in_segment(F.col("key"), s, segments)
             cascade = build_cascade(listed.filter(mine), universe.filter(mine))
             if not cascade.levels:
                 continue
-
-            def test(k: Column) -> Column:
-                return (F.pmod(F.xxhash64(k, F.lit("segment")), F.lit(segments)) == s) & cascade.has(k)  # noqa: B023
-
+            found = _listed_among("_keys", cascade, s, segments)
+            verdict = F.lit(name).alias("verdict")
             hits.append(f"_hit{len(hits)}")
-            found = F.filter("_keys", test)
-            asked = asked.withColumn(hits[-1], F.transform(found, lambda k: F.struct(F.length(k).alias("n"), k.alias("rule"), F.lit(name).alias("verdict"))))  # noqa: B023
+            asked = asked.withColumn(hits[-1], _with_length(found, verdict))
             if segments > 1:
                 asked = materialize(asked, "url-pass")
     best = F.array_max(F.concat(*hits)) if hits else F.lit(None)
     return asked.withColumn("_best", best).select(*keep, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit("allow")).alias("verdict"))
+
+
+def _with_length(keys: Column, verdict: Column) -> Column:
+    return F.transform(keys, lambda k: F.struct(F.length(k).alias("n"), k.alias("rule"), verdict))
