@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.rules import entity_name
 from flowloom.operators.components import connected_components
+from flowloom.operators.joins import split_join
 
 
 def creator_merge(clusters: DataFrame, creations: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def name_families(names: DataFrame, suffix: str = ".bnb") -> DataFrame:
     rows = rows.select("row_id", "name", F.expr("substring(bare, 1, length(bare) - 1)").alias("prefix"), F.expr("substring(bare, -1, 1)").alias("digit"))
     rows = rows.filter("NOT prefix RLIKE '^[0-9]+$'")
     family = rows.groupBy("prefix").agg(F.count_distinct("digit").alias("n")).filter("n >= 2").select("prefix")
-    return rows.join(family, "prefix", "left_semi").select("prefix", "row_id", "name")
+    return split_join(rows, family, ["prefix"], "left_semi").select("prefix", "row_id", "name")
 
 
 def family_merge(clusters: DataFrame, families: DataFrame) -> DataFrame:
@@ -44,7 +45,7 @@ def family_merge(clusters: DataFrame, families: DataFrame) -> DataFrame:
     joins both.  Members keep their first place; other rows stay as they are."""
     rows = families.select("prefix", "row_id").distinct()
     low = rows.groupBy("prefix").agg(F.min("row_id").alias("low"))
-    linked = connected_components(rows.join(low, "prefix"), "row_id", "low")
+    linked = connected_components(split_join(rows, low, ["prefix"]), "row_id", "low")
     return _united(clusters, linked)
 
 
@@ -55,7 +56,7 @@ def entity_merge(clusters: DataFrame, entities: DataFrame) -> DataFrame:
     """
     at = clusters.select("row_id", F.explode("members").alias("address")).join(entities.select("entity", "address").distinct(), "address").select("entity", "row_id").distinct()
     low = at.groupBy("entity").agg(F.min("row_id").alias("low"))
-    linked = connected_components(at.join(low, "entity"), "row_id", "low")
+    linked = connected_components(split_join(at, low, ["entity"]), "row_id", "low")
     return _united(clusters, linked)
 
 

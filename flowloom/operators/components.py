@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from flowloom.operators.joins import split_join
 from flowloom.storage import materialize
 
 
@@ -22,28 +23,18 @@ def _canonical(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _with_low(edges: DataFrame, low: DataFrame) -> DataFrame:
-    """Edges ``(u, v)`` with the ``m`` of their ``u``.
-
-    The second key keeps the join from running where ``low`` was aggregated: both sides are shuffled for the join
-    alone, and adaptive execution can then split the rows of a hub.
-    """
-    key = F.xxhash64("u").alias("k")
-    return edges.select("u", "v", key).join(low.select("u", "m", key), ["u", "k"]).select("u", "v", "m")
-
-
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour (or the node itself)."""
     both = edges.union(edges.select("b", "a")).toDF("u", "v")
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return _canonical(_with_low(both.filter("v > u"), low).select(F.col("v").alias("a"), F.col("m").alias("b")))
+    return _canonical(split_join(both.filter("v > u"), low, ["u"]).select(F.col("v").alias("a"), F.col("m").alias("b")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them."""
     down = edges.toDF("u", "v")
     low = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = _with_low(down, low).select(F.col("v").alias("a"), F.col("m").alias("b"))
+    moved = split_join(down, low, ["u"]).select(F.col("v").alias("a"), F.col("m").alias("b"))
     return _canonical(moved.union(low.toDF("a", "b")))
 
 
@@ -79,7 +70,7 @@ def group_components(groups: DataFrame, group: str, member: str) -> DataFrame:
     """
     rows = groups.select(F.col(group).alias("g"), F.col(member).alias("m")).filter("g IS NOT NULL AND m IS NOT NULL")
     centre = rows.groupBy("g").agg(F.min("m").alias("c"))
-    star = rows.join(centre, "g").select("m", "c")
+    star = split_join(rows, centre, ["g"]).select("m", "c")
     linked = connected_components(star, "m", "c")
     members = rows.select(F.col("m").alias("node")).distinct()
     return members.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

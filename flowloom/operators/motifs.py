@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.rules import covers_outflow, joined, relays
 from flowloom.operators.components import group_components
+from flowloom.operators.joins import split_join
 from flowloom.operators.ledger import ORDER, SLICE, SLICE_BLOCKS, sliced
 from flowloom.operators.model import NATIVE, half_edges
 
@@ -76,7 +77,7 @@ def parallel_relay_links(pairs: DataFrame) -> DataFrame:
     target instead of all pairs.  Groups grow with the square of the nodes between a pair; this does not."""
     mids = pairs.select("channel", "src", "dst", "mid").distinct()
     low = mids.groupBy("channel", "src", "dst").agg(F.min("mid").alias("low"))
-    return mids.join(low, ["channel", "src", "dst"]).filter("mid > low").select("channel", F.col("low").alias("a"), F.col("mid").alias("b")).distinct()
+    return split_join(mids, low, ["channel", "src", "dst"]).filter("mid > low").select("channel", F.col("low").alias("a"), F.col("mid").alias("b")).distinct()
 
 
 def relay_recipient_groups(pairs: DataFrame) -> DataFrame:
