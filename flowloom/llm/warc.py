@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm.columns import bound_batches
+from flowloom.operators.joins import split_join
 
 VERSION = b"WARC/1.1\r\n"
 DATE = b"2020-01-01T00:00:00Z"
@@ -122,9 +123,7 @@ def revisit_targets(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     large = F.length("payload") >= min_bytes
     last = rows.filter(large).groupBy("digest").agg(F.max("page_id").alias("last"))
     refers = F.when(large & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
-    # With a second key the join has a shuffle of its own, in which a payload that many pages have can be split.
-    key = F.xxhash64("digest").alias("k")
-    return rows.withColumn("k", key).join(last.withColumn("k", key), ["digest", "k"], "left").select("page_id", "url", "payload", refers.alias("refers_to"))
+    return split_join(rows, last, ["digest"], "left").select("page_id", "url", "payload", refers.alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, path: str, segment: int = 16384, records_per_file: int = 2048, min_bytes: int = 0) -> None:
