@@ -59,7 +59,7 @@ def block(track: int, time: int, frames: list[bytes], lacing: int, key: bool = T
     head += bytes([len(frames) - 1])
     if lacing == XIPH:
         head += b"".join(b"\xff" * (n // 255) + bytes([n % 255]) for n in sizes[:-1])
-    elif lacing == EBML_LACING:
+    elif lacing == EBML_LACING and len(sizes) > 1:
         head += vint(sizes[0])
         for before, n in zip(sizes, sizes[1:-1], strict=False):
             diff = n - before

@@ -3,7 +3,7 @@ import struct
 import zlib
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from flowloom.llm import matroska as mk
@@ -23,6 +23,8 @@ def test_round_trip(n, seed):
         assert data[at : at + 4] == mk.CLUSTER.to_bytes(4, "big")
 
 
+@example([b""], mk.EBML_LACING)
+@example([b"a" * 300, b"", b"b" * 20000, b"c"], mk.EBML_LACING)
 @given(st.lists(st.binary(max_size=700), min_size=1, max_size=9), st.sampled_from([mk.XIPH, mk.EBML_LACING]))
 def test_lacings(frames, lacing):
     data = file_of(mk.element(mk.CLUSTER, mk.number(mk.TIMESTAMP, 9) + mk.block(1, -2, frames, lacing)))
