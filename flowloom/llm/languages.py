@@ -25,9 +25,9 @@ from flowloom.llm.columns import bound_batches, map_batches, share, utf8
 
 #: Cells of the hashed n-grams; more languages than this would make the model too large to send to every task.
 CELLS, MOST_LANGUAGES = 1 << 15, 256
-_FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-#: ASCII that is no letter stands for a word boundary.
-_FOLD = bytes(32 if (c := _FOLD[i]) < 128 and not 97 <= c <= 122 else c for i in range(256))
+_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+#: A to Z in lower case; other ASCII that is no letter stands for a word boundary.
+_FOLD = bytes(32 if (c := _LOWER[i]) < 128 and not 97 <= c <= 122 else c for i in range(256))
 #: Bytes of a text counted at once.
 _CHUNK = 1 << 20
 
