@@ -26,6 +26,19 @@ def creator_merge(clusters: DataFrame, creations: DataFrame) -> DataFrame:
     return rows.groupBy("row_id").agg(F.flatten(F.transform(parts, lambda x: x["part"])).alias("members"))
 
 
+def creation_rows(vertices: DataFrame, creations: DataFrame) -> DataFrame:
+    """``(id, members)``: each vertex's id and after it the targets that it created, in order, repeats included.
+
+    ``vertices`` has ``id``, ``creations`` is as for ``creator_merge``.  A vertex without creations is alone in its
+    row; null ids have no row, repeated ones one.
+    """
+    ids = vertices.select("id").filter("id IS NOT NULL").distinct()
+    made = creations.join(ids, creations["src"] == ids["id"], "left_semi").groupBy(F.col("src").alias("id"))
+    made = made.agg(F.sort_array(F.collect_list(F.struct("rank", "dst"))).alias("made"))
+    targets = F.coalesce(F.transform("made", lambda x: x["dst"]), F.array().cast("array<string>"))
+    return ids.join(made, "id", "left").select("id", F.concat(F.array("id"), targets).alias("members"))
+
+
 def name_families(names: DataFrame, suffix: str = ".bnb") -> DataFrame:
     """``(prefix, row_id, name)``: names that differ in their last digit only.
 
@@ -75,9 +88,9 @@ def drop_singletons(clusters: DataFrame) -> DataFrame:
 def label_lookup(addresses: DataFrame, labels: DataFrame) -> DataFrame:
     """``(address, name)``: names of addresses; the last label of an address counts, empty ones do not.
 
-    ``labels`` has ``address``, ``name`` and ``position``.
+    ``labels`` has ``address``, ``name`` and ``position``; of labels at one position the largest name counts.
     """
-    known = labels.filter("name <> ''").groupBy("address").agg(F.max_by("name", "position").alias("name"))
+    known = labels.filter("name <> ''").groupBy("address").agg(F.max_by("name", F.struct("position", "name")).alias("name"))
     return addresses.select("address").distinct().join(known, "address")
 
 
@@ -88,8 +101,8 @@ def normalised_names(labels: DataFrame) -> DataFrame:
 
 def entity_addresses(entities: DataFrame, labels: DataFrame) -> DataFrame:
     """``(entity, address)`` from ``entities(entity, name)`` and ``labels(address, name, position)``; of several
-    addresses with one name the last counts."""
-    by_name = labels.filter("name <> ''").groupBy("name").agg(F.max_by("address", "position").alias("address"))
+    addresses with one name the last counts, and of those at one position the largest."""
+    by_name = labels.filter("name <> ''").groupBy("name").agg(F.max_by("address", F.struct("position", "address")).alias("address"))
     return entities.select("entity", "name").distinct().join(by_name, "name").select("entity", "address")
 
 

@@ -46,6 +46,25 @@ def rejected(raw: DataFrame) -> DataFrame:
     return raw.filter(amount(F.col("value")).isNull())
 
 
+def edges_of_kind(transfers: DataFrame, behaviour: str) -> DataFrame:
+    """Edges of one behaviour; a null behaviour is none."""
+    return transfers.filter(F.col("behaviour") == behaviour)
+
+
+def lookup(vertices: DataFrame, ids: DataFrame, required: bool = False) -> DataFrame:
+    """The vertices of ``ids(id)``, each id once, with ``found``; a missing one has nulls for its properties.
+
+    With ``required`` a missing id is an error when the result is read.  Null ids are never found; of repeated
+    vertices all come out.
+    """
+    have = vertices.withColumn("found", F.lit(True))
+    rows = ids.select("id").distinct().join(have, "id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    if required:
+        missing = F.raise_error(F.concat(F.lit("no vertex "), F.coalesce(F.col("id").cast("string"), F.lit("null")))).cast("boolean")
+        rows = rows.withColumn("found", F.when(F.col("found"), True).otherwise(missing))
+    return rows
+
+
 def vertices_without(vertices: DataFrame, prop: str = "node_id") -> DataFrame:
     """Vertices that lack a property."""
     return vertices.filter(F.col(prop).isNull() & F.col("id").isNotNull())

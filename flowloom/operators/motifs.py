@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.rules import covers_outflow, joined, relays
-from flowloom.operators.components import group_components
+from flowloom.operators.components import connected_components
 from flowloom.operators.joins import split_join
 from flowloom.operators.ledger import ORDER, SLICE, SLICE_BLOCKS, sliced
-from flowloom.operators.model import NATIVE, half_edges
+from flowloom.operators.ledger import ledger as make_ledger
+from flowloom.operators.model import NATIVE, half_edges, with_channel
 
 
 def _groups(rows: DataFrame, members: Column) -> DataFrame:
@@ -99,7 +100,15 @@ def airdrop_groups(half: DataFrame, slice_blocks: int = SLICE_BLOCKS) -> DataFra
 def deposit_reuse_groups(
     transfers: DataFrame, exchanges: DataFrame, miners: DataFrame, max_blocks: int = 3200, max_excess: int = 10**16, slice_blocks: int = SLICE_BLOCKS
 ) -> DataFrame:
-    """Sender and deposit address: the deposit address, no exchange itself, pays an exchange fewer than
+    """Sender and deposit address, as groups of ``deposit_reuse_pairs``."""
+    hits = deposit_reuse_pairs(transfers, exchanges, miners, max_blocks, max_excess, slice_blocks)
+    return _groups(hits, F.array("deposit", "sender"))
+
+
+def deposit_reuse_pairs(
+    transfers: DataFrame, exchanges: DataFrame, miners: DataFrame, max_blocks: int = 3200, max_excess: int = 10**16, slice_blocks: int = SLICE_BLOCKS
+) -> DataFrame:
+    """``(channel, deposit, sender)``, repeats included: the deposit address, no exchange itself, pays an exchange fewer than
     ``max_blocks`` blocks before the sender's transfer or at any time after it, and at most ``max_excess`` less;
     the sender is neither exchange nor miner.  ``exchanges`` and ``miners`` have ``address``.
 
@@ -121,7 +130,7 @@ def deposit_reuse_groups(
     rows = half.withColumn("paid", F.max(payment).over(here)).filter("dir = 'I'").join(later, SLICE)
     hits = rows.filter(F.col("value") - F.greatest("paid", "later") <= max_excess)
     hits = hits.join(mi.withColumnRenamed("a", "other"), "other", "left_anti")
-    return _groups(hits, F.array("node", "other"))
+    return hits.select("channel", F.col("node").alias("deposit"), F.col("other").alias("sender"))
 
 
 # --- across motifs
@@ -138,14 +147,101 @@ def of_anchor(groups: DataFrame, anchors: DataFrame) -> DataFrame:
     return rows.join(anchors.select(F.col("id").alias("anchor")).distinct(), "anchor", "left_semi").select("anchor", "channel", "members")
 
 
+def anchored_groups(half: DataFrame, anchors: DataFrame, strict: bool = True, slice_blocks: int = SLICE_BLOCKS) -> DataFrame:
+    """``(anchor, channel, members)``: co-deposit and parallel relay groups by the part that an anchor has in them.
+
+    An anchor is a sender of the co-deposit and a relaying node.  Without ``strict`` it may also be the node that is
+    paid, as in ``deposit_side_groups``, and a relay's target, as in ``relay_recipient_groups``; groups of which it
+    is a member in another part are not its own.  ``anchors`` has ``id``.
+
+    Only the ledgers and relays that an anchor can have a part in are computed: those of nodes that it pays, that pay
+    it, or that share a source with its own relays.
+    """
+    ids = anchors.select(F.col("id").alias("anchor")).filter("anchor IS NOT NULL").distinct()
+    ends = half.join(ids, half["node"] == ids["anchor"]).select("anchor", "channel", "dir", "other").distinct()
+    paid = ends.filter("dir = 'O'").select("channel", F.col("other").alias("node"), "anchor")
+    pays = ends.filter("dir = 'I'").select("channel", F.col("other").alias("node"), "anchor")
+    here = half.join(ids, half["node"] == ids["anchor"], "left_semi")
+
+    def of(nodes: DataFrame) -> DataFrame:
+        return half.join(nodes.select("channel", "node").distinct(), ["channel", "node"], "left_semi")
+
+    def groups(rows: DataFrame, members: Column) -> DataFrame:
+        found = rows.select("anchor", "channel", F.array_distinct(members).alias("m")).filter("size(m) >= 2")
+        return found.select("anchor", "channel", joined(F.col("m")).alias("members"))
+
+    hit = make_ledger(of(paid), slice_blocks).join(paid, ["channel", "node"]).filter(F.array_contains("senders", F.col("anchor")))
+    hit = hit.filter(covers_outflow(F.col("mx"), F.col("s_in"), F.col("out_value")))
+    found = [groups(hit, F.col("senders") if strict else F.concat("senders", F.array("node")))]
+
+    own = relay_pairs(here, slice_blocks=slice_blocks).select("channel", "src", "dst", F.col("mid").alias("anchor")).distinct()
+    sources = own.select("channel", F.col("src").alias("node")).distinct()
+    reached = of(sources).filter("dir = 'O'").select("channel", F.col("other").alias("node"))
+    mids = relay_pairs(of(reached), slice_blocks=slice_blocks).select("channel", "src", "dst", "mid").distinct()
+    both = own.join(mids, ["channel", "src", "dst"]).filter("mid <> anchor")
+    found.append(groups(both, F.array("anchor", "mid") if strict else F.array("anchor", "mid", "dst")))
+    if not strict:
+        side = make_ledger(here, slice_blocks).filter(covers_outflow(F.col("mx"), F.col("s_in") + F.col("bal_before"), F.col("out_value")))
+        found.append(groups(side.withColumn("anchor", F.col("node")), F.concat("senders", F.array("node"))))
+        to = relay_pairs(of(pays), slice_blocks=slice_blocks).join(ids, F.col("dst") == F.col("anchor"))
+        found.append(groups(to, F.array("mid", "dst")))
+    return reduce(DataFrame.union, found).distinct()
+
+
+def anchor_deposit_reuse(
+    transfers: DataFrame, anchors: DataFrame, exchanges: DataFrame, miners: DataFrame, max_blocks: int = 3200, max_excess: int = 10**16, slice_blocks: int = SLICE_BLOCKS
+) -> DataFrame:
+    """``(anchor, channel, members)``: the ``deposit_reuse_groups`` of every deposit address that an anchor pays.
+
+    The sender may be any node, the anchor among them.  Only edges at these deposit addresses are read on; zero
+    values pay nothing in the native channel.  ``anchors`` has ``id``; an anchor without groups has no rows.
+    """
+    ids = anchors.select(F.col("id").alias("anchor")).filter("anchor IS NOT NULL").distinct()
+    edges = with_channel(transfers).filter("channel <> '' OR value <> 0")
+    paid = edges.join(ids, edges["src"] == ids["anchor"]).select("anchor", "channel", F.col("dst").alias("deposit")).distinct()
+    nodes = paid.select(F.col("deposit").alias("_d")).distinct()
+    from_, to = (nodes.select(F.col("_d").alias(f"_{end}"), F.lit(True).alias(f"_at_{end}")) for end in ("src", "dst"))
+    near = transfers.join(from_, F.col("src") == F.col("_src"), "left").join(to, F.col("dst") == F.col("_dst"), "left")
+    near = near.filter("_at_src OR _at_dst").select(*transfers.columns)
+    groups = deposit_reuse_pairs(near, exchanges, miners, max_blocks, max_excess, slice_blocks)
+    own = groups.join(paid, ["channel", "deposit"])
+    return own.select("anchor", "channel", joined(F.array("deposit", "sender")).alias("members")).distinct()
+
+
 def group_clusters(groups: DataFrame) -> DataFrame:
-    """``(member, component)``: members of overlapping groups belong together; a component is its smallest member."""
-    rows = groups.select("members").distinct().select(F.col("members").alias("g"), F.explode(F.split("members", ",")).alias("m"))
-    return group_components(rows, "g", "m").select(F.col("node").alias("member"), "component")
+    """``(member, component)``: members of overlapping groups belong together; a component is its smallest member.
+
+    A group links its members to its smallest one, so nothing is shuffled by group.
+    """
+    rows = groups.select(F.split("members", ",").alias("all")).select(F.explode("all").alias("m"), F.array_min("all").alias("c"))
+    return _clusters(rows)
+
 
+def _clusters(links: DataFrame) -> DataFrame:
+    """Components of links ``(m, c)``; a node linked to itself alone is its own."""
+    links = links.distinct()
+    linked = connected_components(links, "m", "c")
+    members = links.select(F.col("m").alias("node")).union(links.select("c")).distinct()
+    return members.join(linked, "node", "left").select(F.col("node").alias("member"), F.coalesce("component", "node").alias("component"))
 
-def anchor_component(groups: DataFrame, anchors: DataFrame) -> DataFrame:
-    """``(anchor, member)``: everything connected to an anchor; nothing for an anchor that is in no group."""
-    clusters = group_clusters(groups)
-    own = clusters.join(anchors.select(F.col("id").alias("member")).distinct(), "member", "left_semi")
-    return own.select(F.col("member").alias("anchor"), "component").join(clusters, "component").select("anchor", "member")
+
+def motif_clusters(ledger: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(member, component)``: the clusters of co-deposit and parallel relay groups, as ``group_clusters`` of their
+    union has them, from stars instead of groups: no pairs of relaying nodes are made."""
+    hit = ledger.filter(covers_outflow(F.col("mx"), F.col("s_in"), F.col("out_value"))).filter("size(senders) >= 2")
+    senders = hit.select(F.explode("senders").alias("m"), F.array_min("senders").alias("c"))
+    relayed = parallel_relay_links(pairs).select(F.col("b").alias("m"), F.col("a").alias("c"))
+    return _clusters(senders.union(relayed))
+
+
+def anchor_component(groups: DataFrame) -> DataFrame:
+    """``(anchor, member)``: what an anchor's own groups ``(anchor, channel, members)`` connect to it.
+
+    Members are linked within the groups of one anchor only; an anchor that is in none of them has no rows.
+    """
+    at = lambda member: F.struct(F.col("anchor"), member.alias("member"))
+    rows = groups.select("anchor", F.split("members", ",").alias("all"))
+    rows = rows.select("anchor", F.explode("all").alias("m"), F.array_min("all").alias("c"))
+    clusters = _clusters(rows.select(at(F.col("m")).alias("m"), at(F.col("c")).alias("c")))
+    own = clusters.filter("member.anchor = member.member").select(F.col("component"), F.col("member.anchor").alias("anchor"))
+    return own.join(clusters, "component").select("anchor", F.col("member.member").alias("member"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.rules import addresses
@@ -44,22 +44,43 @@ def cluster_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def label_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """``(address, name, position)`` from a JSON object ``address -> {name}``; the position is that in the file."""
-    files = spark.read.text(path, wholetext=True)
-    entries = F.from_json("value", "map<string, struct<name: string>>")
-    return files.select(F.posexplode(F.map_entries(entries)).alias("position", "e")).select("e.key", "e.value.name", "position").toDF("address", "name", "position")
+    """``(address, name, position)`` from JSON objects ``address -> {name}``, one per file.
+
+    The position is that in the file, after all entries of the files before it in order of their names.  A file is one
+    row of one task, as JSON has no record ends to split at: at most 2 GB, and large dictionaries are several files.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.map_entries(F.from_json("value", "map<string, struct<name: string>>")).alias("entries"))
+    rows = files.select("path", F.posexplode("entries").alias("at", "e"))
+    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    base = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).select("path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return rows.join(base, "path").select(F.col("e.key").alias("address"), F.col("e.value.name").alias("name"), (F.col("base") + F.col("at")).alias("position"))
 
 
 def entity_map(spark: SparkSession, path: str) -> DataFrame:
-    """``(entity, name)`` from a JSON object ``entity -> [name]``."""
+    """``(entity, name)`` from JSON objects ``entity -> [name]``, one per file of at most 2 GB."""
     files = spark.read.text(path, wholetext=True)
     return files.select(F.explode(F.from_json("value", "map<string, array<string>>")).alias("entity", "names")).select("entity", F.explode("names").alias("name"))
 
 
 def result_lists(spark: SparkSession, path: str) -> DataFrame:
-    """``(anchor, members)``: JSON lists, one per line, in files named after their anchor."""
+    """``(anchor, members)``: JSON lists, one per line, in files named after their anchor or in folders ``anchor=``.
+
+    Lines that are no list are skipped.  Folders are named by a pattern, ``path/*``.
+    """
     rows = spark.read.text(path).select(F.input_file_name().alias("path"), F.from_json("value", "array<bigint>").alias("members"))
-    return rows.filter("members IS NOT NULL").select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("anchor"), "members")
+    return rows.filter("members IS NOT NULL").select(_named("path", "anchor").alias("anchor"), "members")
+
+
+def _named(path: str, key: str) -> Column:
+    """The value of a folder ``key=value`` in a path, or where there is none the file's name without its ending."""
+    folder = F.regexp_extract(path, f"/{key}=([^/]*)/[^/]*$", 1)
+    return F.when(folder != "", F.try_url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))).otherwise(F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1))
+
+
+def log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(log, line_no, line)`` for ``chat_turns``: the lines of a folder of logs, one file each, in folders ``log=`` or
+    named after the log."""
+    return _numbered(spark, f"{path}/*").select(_named("path", "log").alias("log"), F.col("row_id").alias("line_no"), F.col("value").alias("line"))
 
 
 def extracted_addresses(cells: DataFrame) -> DataFrame:

@@ -23,6 +23,25 @@ def anchored_lists(groups: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("anchor").text(path)
 
 
+def _json_objects(entries: DataFrame, path: str, per_file: int) -> None:
+    """``entries(key, value)`` as JSON objects of about ``per_file`` entries, one per file."""
+    files = entries.count() // per_file + 1
+    dealt = entries.filter("key IS NOT NULL").groupBy(F.pmod(F.xxhash64("key"), F.lit(files)).alias("file"))
+    rows = dealt.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value"))))).alias("value"))
+    rows.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
+def label_json(labels: DataFrame, path: str, per_file: int = 100_000) -> None:
+    """Labels ``(address, name)``, each address once, as objects ``address -> {name}``."""
+    _json_objects(labels.select(F.col("address").alias("key"), F.struct("name").alias("value")), path, per_file)
+
+
+def entity_json(entities: DataFrame, path: str, per_file: int = 100_000) -> None:
+    """Entities ``(entity, name)`` as objects ``entity -> [name]``; names are in order and once."""
+    rows = entities.groupBy(F.col("entity").alias("key")).agg(F.sort_array(F.collect_set("name")).alias("value"))
+    _json_objects(rows, path, per_file)
+
+
 def member_lines(component: DataFrame, path: str) -> None:
     """Members of a component, one per line."""
     component.select(F.col("member").alias("value")).write.mode("overwrite").text(path)

@@ -99,7 +99,7 @@ def test_readers_and_writers(spark, tmp_path):
     (tmp_path / "rows.txt").write_text("a,b\n\nc\n")
     assert rows_of(readers.cluster_rows(spark, str(tmp_path / "rows.txt"))) == {1: ["a", "b"], 3: ["c"]}
     (tmp_path / "labels.json").write_text('{"a": {"name": "N"}, "b": {"name": null}}')
-    assert [tuple(r) for r in readers.label_dictionary(spark, str(tmp_path / "labels.json")).collect()] == [("a", "N", 0), ("b", None, 1)]
+    assert [tuple(r) for r in readers.label_dictionary(spark, str(tmp_path / "labels.json")).orderBy("position").collect()] == [("a", "N", 0), ("b", None, 1)]
     (tmp_path / "entities.json").write_text('{"E": ["x", "y"]}')
     assert [tuple(r) for r in readers.entity_map(spark, str(tmp_path / "entities.json")).collect()] == [("E", "x"), ("E", "y")]
     (tmp_path / "results").mkdir()
@@ -118,6 +118,38 @@ def test_readers_and_writers(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "c"), header=True).count() == 3
 
 
+def test_positions_of_labels_in_several_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"x": {"name": "1"}, "y": {"name": "2"}}')
+    (tmp_path / "b.json").write_text('{"x": {"name": "3"}}')
+    labels = readers.label_dictionary(spark, str(tmp_path))
+    assert sorted(map(tuple, labels.collect())) == [("x", "1", 0), ("x", "3", 2), ("y", "2", 1)]
+    tied = spark.createDataFrame([("a", "P", 1), ("a", "Q", 1), ("b", "Q", 1)], "address string, name string, position long")
+    ask = spark.createDataFrame([("a",), (None,)], "address string")
+    assert [tuple(r) for r in clusters.label_lookup(ask, tied).collect()] == [("a", "Q")]
+    e = spark.createDataFrame([("E", "Q")], "entity string, name string")
+    assert [tuple(r) for r in clusters.entity_addresses(e, tied).collect()] == [("E", "b")]
+
+
+def test_dictionaries_in_several_files(spark, tmp_path):
+    labels = spark.createDataFrame([(f"k{i}", None if i % 3 == 0 else f'n"{i}') for i in range(10)] + [(None, "x")], "address string, name string")
+    writers.label_json(labels, str(tmp_path / "l"), per_file=2)
+    assert len(list((tmp_path / "l").glob("part-*"))) > 1
+    back = readers.label_dictionary(spark, str(tmp_path / "l")).collect()
+    assert sorted(map(str, ((r["address"], r["name"]) for r in back))) == sorted(map(str, (tuple(r) for r in labels.filter("address IS NOT NULL").collect())))
+    assert sorted(r["position"] for r in back) == list(range(10))
+    entities = spark.createDataFrame([("E", "a"), ("E", "a"), ("E", "b"), ("F", None), (None, "z")], "entity string, name string")
+    writers.entity_json(entities, str(tmp_path / "e"))
+    assert {tuple(r) for r in readers.entity_map(spark, str(tmp_path / "e")).collect()} == {("E", "a"), ("E", "b")}
+    writers.entity_json(entities.limit(0), str(tmp_path / "n"))
+    assert readers.entity_map(spark, str(tmp_path / "n")).collect() == []
+
+
+def test_creation_rows(spark):
+    made = spark.createDataFrame([("a", "t2", 2), ("a", "t1", 1), ("q", "x", 1)], "src string, dst string, rank long")
+    ids = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "id string")
+    assert {r["id"]: r["members"] for r in clusters.creation_rows(ids, made).collect()} == {"a": ["a", "t1", "t2"], "b": ["b"]}
+
+
 def test_line_numbers_across_splits(spark, tmp_path):
     for f in "ab":
         (tmp_path / f"{f}.txt").write_text("".join(f"{f}{i},x\n" for i in range(1, 5001)))
@@ -137,6 +169,8 @@ def test_chat_log_round_trip(spark, tmp_path):
     assert [(r["role"], r["text"]) for r in turns.collect()] == [("user", "hi\nmore"), ("assistant", "hello\n"), ("user", "again"), ("assistant", "yes")]
     writers.chat_lines(turns, str(tmp_path / "chat"))
     assert [r["value"] for r in spark.read.text(str(tmp_path / "chat")).collect()] == ["You: hi", "more", "Ollama: hello", "", "You: again", "Ollama: yes"]
+    again = readers.chat_turns(readers.log_lines(spark, str(tmp_path / "chat"))).orderBy("turn").collect()
+    assert [(r["log"], r["role"], r["text"]) for r in again] == [("1", r["role"], r["text"]) for r in turns.collect()]
 
 
 def test_address_extraction(spark):

@@ -235,10 +235,64 @@ def test_deposit_reuse_zero_values(spark):
 
 
 def test_anchor_component(spark):
-    groups = spark.createDataFrame([("", "a,b"), ("", "b,c"), ("", "d,e")], "channel string, members string")
-    anchors = spark.createDataFrame([("a",), ("z",)], "id string")
-    assert {tuple(r) for r in motifs.anchor_component(groups, anchors).collect()} == {("a", "a"), ("a", "b"), ("a", "c")}
-    assert {r["members"] for r in motifs.of_anchor(groups, anchors).collect()} == {"a,b"}
+    groups = spark.createDataFrame([("a", "", "a,b"), ("a", "", "b,c"), ("a", "t", "d,e"), ("f", "", "a,g"), ("b", "", "b,x")], "anchor string, channel string, members string")
+    want = {("a", "a"), ("a", "b"), ("a", "c"), ("b", "b"), ("b", "x")}
+    assert {tuple(r) for r in motifs.anchor_component(groups).collect()} == want
+    assert motifs.anchor_component(groups.limit(0)).collect() == []
+    anchors = spark.createDataFrame([("a",), ("z",), (None,)], "id string")
+    assert {r["members"] for r in motifs.of_anchor(groups, anchors).collect()} == {"a,b", "a,g"}
+
+
+def test_deposit_reuse_of_an_anchor_is_local(spark):
+    """The anchor pays d; x pays d and d2, which the anchor does not pay."""
+    edges = parse("a→d@1:5, x→d@1:5, d→E@2:5, x→d2@1:5, d2→E@2:5, a→E@1:5")
+    ids = lambda name, *x: spark.createDataFrame([(i,) for i in x], f"{name} string")
+    found = motifs.anchor_deposit_reuse(graph(spark, edges), ids("id", "a", "x", "z", None), ids("address", "E"), ids("address", "M"))
+    assert {(r["anchor"], r["members"]) for r in found.collect()} == {("a", "a,d"), ("a", "d,x"), ("x", "a,d"), ("x", "d,x"), ("x", "d2,x")}
+    assert {tuple(r) for r in motifs.anchor_component(found).collect()} == {("a", "a"), ("a", "d"), ("a", "x"), ("x", "x"), ("x", "d"), ("x", "a"), ("x", "d2")}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_anchored_groups_against_all_groups(spark, seed):
+    """Of all groups, those in which the anchor has its part; the parts are taken from loops over all rows."""
+    rng = random.Random(seed)
+    edges = [(f"n{rng.randint(0, 9)}", f"n{rng.randint(0, 9)}", rng.randint(1, 40), rng.choice([5, 50, 52, 100])) for _ in range(250)]
+    half = model.half_edges(graph(spark, edges))
+    rows, pairs = ledger(half).collect(), motifs.relay_pairs(half).collect()
+    for strict in (True, False):
+        want = set()
+        for a in ("n1", "n4"):
+            for r in rows:
+                senders = set(r["senders"] or [])
+                covers = lambda more, r=r: bool(r["mx"]) and r["mx"] >= 10 * (r["s_in"] + more - r["out_value"])
+                if a in senders and covers(0):
+                    want.add((a, frozenset(senders | (set() if strict else {r["node"]}))))
+                if not strict and r["node"] == a and covers(r["bal_before"]):
+                    want.add((a, frozenset(senders | {a})))
+            for r in pairs:
+                if not strict and r["dst"] == a:
+                    want.add((a, frozenset({r["mid"], a})))
+                want |= {(a, frozenset({a, q["mid"]} | (set() if strict else {q["dst"]}))) for q in pairs if r["mid"] == a != q["mid"] and (r["src"], r["dst"]) == (q["src"], q["dst"])}
+        got = motifs.anchored_groups(half, spark.createDataFrame([("n1",), ("n4",), ("no",)], "id string"), strict).collect()
+        assert sorted((r["anchor"], r["members"]) for r in got) == sorted((a, ",".join(sorted(m))) for a, m in want if len(m) > 1) and got
+
+
+def test_motif_clusters_equal_those_of_the_groups(spark):
+    rng = random.Random(9)
+    edges = [(f"n{rng.randint(0, 60)}", f"n{rng.randint(0, 60)}", rng.randint(1, 40), rng.choice([5, 50, 52, 100])) for _ in range(200)]
+    half = model.half_edges(graph(spark, edges))
+    rows, pairs = ledger(half), motifs.relay_pairs(half)
+    groups = motifs.union_groups(motifs.codeposit_groups(rows), motifs.parallel_relay_groups(pairs))
+    assert sorted(map(tuple, motifs.motif_clusters(rows, pairs).collect())) == sorted(map(tuple, motifs.group_clusters(groups).collect()))
+
+
+def test_lookup_reports_missing_ids(spark):
+    vertices = spark.createDataFrame([("a", "x"), ("b", None), ("b", "y")], "id string, node_id string")
+    ids = spark.createDataFrame([("a",), ("a",), ("b",), ("q",), (None,)], "id string")
+    assert sorted(map(str, map(tuple, model.lookup(vertices, ids).collect()))) == sorted(map(str, [("a", "x", True), ("b", None, True), ("b", "y", True), ("q", None, False), (None, None, False)]))
+    with pytest.raises(Exception, match="no vertex"):
+        model.lookup(vertices, ids.filter("id <> 'b'"), required=True).collect()
+    assert model.lookup(vertices, ids.filter("id = 'a'"), required=True).count() == 1
 
 
 def test_oversize_values_are_rejected(spark):
