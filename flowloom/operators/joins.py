@@ -13,5 +13,13 @@ def split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     one task.  A second key, the hash of the first, gives both sides a shuffle for the join alone, and adaptive
     execution can then split a large partition.
     """
-    hashed = F.xxhash64(*keys)
-    return left.withColumn("_k", hashed).join(right.withColumn("_k", hashed), [*keys, "_k"], how).drop("_k")
+    hashed, name = F.xxhash64(*keys), fresh("_k", left, right)
+    return left.withColumn(name, hashed).join(right.withColumn(name, hashed), [*keys, name], how).drop(name)
+
+
+def fresh(name: str, *tables: DataFrame) -> str:
+    """The name, with as many underscores as no column of the tables has it; names differ by more than case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
