@@ -12,15 +12,13 @@ bucket are verified on all 64 bits.  A bucket yields a spanning forest of its li
 absorbed fingerprint is never compared again within the bucket.  A bucket of more than ``cap`` fingerprints is not
 held in memory: its rows are divided again by the pigeonhole principle over the bits that it has not used yet.
 
-``simhash_groups`` links by one fingerprint alone.  ``similar_groups`` aims at a similarity of shingle sets instead,
-for which one fingerprint of 64 bits is too short: it probes four independent fingerprints, each by the principle
-above, and verifies what meets by a fifth signature of 256 bits.
+The fingerprints are distinct, so those that agree on all bits used so far differ in others, and every division
+separates them.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 from itertools import islice, repeat
 
@@ -33,6 +31,7 @@ from pyspark.sql import types as T
 
 from flowloom.llm.columns import bound_batches, map_batches, utf8, wide_batches
 from flowloom.operators.components import connected_components
+from flowloom.operators.joins import fresh
 from flowloom.storage import materialize
 
 BITS = 64
@@ -41,15 +40,14 @@ _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).asty
 ROW_COST, PAIR_COST = 2e-6, 2e-8
 
 
-def _majority(shingles: Iterator[bytes], hashes: list[tuple[Callable, int]], size: int) -> bytes:
-    """The bits set in over half of the digests, for each ``(function, seed)``; digests have ``size`` bytes."""
-    offsets = np.arange(size, dtype=np.int64) * 256
-    counts, n = np.zeros((len(hashes), size, 8)), 0
+def _majority(shingles: Iterator[bytes], seed: int) -> bytes:
+    """The bits set in over half of the digests."""
+    offsets = np.arange(8, dtype=np.int64) * 256
+    counts, n = np.zeros((8, 8)), 0
     while some := list(islice(shingles, 1 << 15)):
         n += len(some)
-        for k, (digest, seed) in enumerate(hashes):
-            rows = np.frombuffer(b"".join(map(digest, some, repeat(seed))), np.uint8).reshape(-1, size)
-            counts[k] += np.bincount((rows + offsets).ravel(), minlength=256 * size).reshape(size, 256) @ _BYTE_BITS
+        rows = np.frombuffer(b"".join(map(xxhash.xxh64_digest, some, repeat(seed))), np.uint8).reshape(-1, 8)
+        counts += np.bincount((rows + offsets).ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS
     return np.packbits(2 * counts.ravel() > n).tobytes()
 
 
@@ -65,14 +63,7 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     words = text.lower().split()
     if not words:
         return 0
-    return int.from_bytes(_majority(_shingles(words, width), [(xxhash.xxh64_digest, seed)], 8), "big")
-
-
-def signature(words: list[bytes], width: int) -> bytes:
-    """SimHash of 256 bits."""
-    if not words:
-        return bytes(32)
-    return _majority(_shingles(words, width), [(xxhash.xxh3_128_digest, 1), (xxhash.xxh3_128_digest, 2)], 16)
+    return int.from_bytes(_majority(_shingles(words, width), seed), "big")
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
@@ -89,26 +80,25 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
 # --- statistics and plan
 
 
-def bit_statistics(unique: DataFrame, columns: tuple[str, ...] = ("fp",)) -> tuple[int, list[np.ndarray]]:
-    """How many fingerprints there are, and per column for each pair of bits how often both are set."""
+def bit_statistics(unique: DataFrame) -> tuple[int, np.ndarray]:
+    """How many fingerprints there are, and for each pair of bits how often both are set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros((len(columns), BITS, BITS)), 0
+        total, n = np.zeros((BITS, BITS)), 0
         for batch in batches:
-            for i in range(len(columns)):
-                fps = batch.column(i).to_numpy().view(np.uint64)
-                x = np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[:, ::-1].astype(np.float32)
-                total[i] += x.T @ x
+            fps = batch.column(0).to_numpy().view(np.uint64)
+            x = np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[:, ::-1].astype(np.float32)
+            total += x.T @ x
             n += batch.num_rows
         if n:
             cells = np.append(total.ravel(), n)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells))), pa.array(cells)], ["cell", "n"])
 
-    rows = unique.select(*columns).mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    cells = np.zeros(len(columns) * BITS * BITS + 1)
+    rows = unique.select("fp").mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    cells = np.zeros(BITS * BITS + 1)
     for r in rows:  # a row for each pair of bits at most
         cells[r["cell"]] = r["n"]
-    return int(cells[-1]), list(cells[:-1].reshape(-1, BITS, BITS))
+    return int(cells[-1]), cells[:-1].reshape(BITS, BITS)
 
 
 def agreement(n: int, both: np.ndarray) -> np.ndarray:
@@ -182,15 +172,14 @@ def allocate(n: int, joint: np.ndarray, tau: int, most_parts: int = 8) -> list[t
 # --- probing and verifying
 
 
-def spanning_links(words: np.ndarray, near) -> tuple[np.ndarray, np.ndarray]:
-    """Places ``(a, b)`` of a spanning forest of the links among the rows of ``words``; ``near`` says which rows
-    are linked to a row."""
-    left, right, rest = [], [], np.arange(len(words))
+def spanning_links(fps: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places ``(a, b)`` of a spanning forest of the links within ``tau`` bits."""
+    left, right, rest = [], [], np.arange(len(fps))
     while len(rest):
         front, rest = [rest[0]], rest[1:]
         while front and len(rest):
             at = front.pop()
-            hit = near(words[rest], words[at])
+            hit = np.bitwise_count(fps[rest] ^ fps[at]) <= tau
             if hit.any():
                 found = rest[hit]
                 left += [at] * len(found)
@@ -200,32 +189,19 @@ def spanning_links(words: np.ndarray, near) -> tuple[np.ndarray, np.ndarray]:
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def within(limit: int, first: int = 0):
-    """Rows that differ in at most ``limit`` bits of the words from ``first`` on."""
-
-    def near(rows: np.ndarray, row: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(rows[:, first:] ^ row[..., first:]).sum(axis=1) <= limit
-
-    return near
-
-
-def _link(near, n_words: int, n_ids: int, cap: int | None, small: int = 16):
-    """Over rows ``(path, val, id..., word...)`` sorted by bucket: links, and all rows of buckets over the cap.
+def _link(tau: int, cap: int, dividable: frozenset[str], small: int = 16):
+    """Over rows ``(path, val, fp)`` sorted by bucket: links, and all rows of buckets over the cap.
 
-    Rows out are ``(path, val, id..., word...)`` for buckets passed on, and with a null path the ids of both ends.
+    Rows out are ``(path, val, a, b)``: ``a`` is the fingerprint of a row passed on, and with a null path both are the
+    ends of a link.  A path that has too few unused bits for another division is never passed on; its buckets hold
+    fingerprints that agree on nearly all bits and so are few.
     """
-    width = n_ids + max(n_words, n_ids)
+    names = ["path", "val", "a", "b"]
 
-    def batch_of(paths: pa.Array, vals: pa.Array, numbers: np.ndarray) -> pa.RecordBatch:
-        columns = [pa.array(np.ascontiguousarray(c)) for c in numbers.view(np.int64).T]
-        columns += [pa.nulls(len(numbers), pa.int64())] * (width - len(columns))
-        return pa.RecordBatch.from_arrays([paths, vals, *columns], ["path", "val", *(f"x{i}" for i in range(width))])
-
-    def links(paths: np.ndarray, vals: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def links(paths: np.ndarray, vals: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Whole buckets."""
-        words = rows[:, n_ids:]
         starts = np.flatnonzero(np.append(True, (paths[1:] != paths[:-1]) | (vals[1:] != vals[:-1])))
-        sizes = np.diff(np.append(starts, len(rows)))
+        sizes = np.diff(np.append(starts, len(fps)))
         bucket = np.repeat(np.arange(len(starts)), sizes)
         of = sizes[bucket]
         left, right = [], []
@@ -234,46 +210,46 @@ def _link(near, n_words: int, n_ids: int, cap: int | None, small: int = 16):
             a, b = few[:-step], few[step:]
             same = bucket[a] == bucket[b]
             a, b = a[same], b[same]
-            hit = near(words[a], words[b])
+            hit = np.bitwise_count(fps[a] ^ fps[b]) <= tau
             left.append(a[hit])
             right.append(b[hit])
         for k in np.flatnonzero(sizes > small):
-            a, b = spanning_links(words[starts[k] : starts[k] + sizes[k]], near)
+            a, b = spanning_links(fps[starts[k] : starts[k] + sizes[k]], tau)
             left.append(a + starts[k])
             right.append(b + starts[k])
         if left and (n := sum(map(len, left))):
-            ends = np.hstack([rows[np.concatenate(left)][:, :n_ids], rows[np.concatenate(right)][:, :n_ids]])
-            yield batch_of(pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), ends)
+            ends = (pa.array(fps[np.concatenate(x)].view(np.int64)) for x in (left, right))
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), *ends], names)
 
-    def over(path: str, val: int, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        yield batch_of(pa.array([path] * len(rows)), pa.array(np.full(len(rows), val)), rows)
+    def over(path: str, val: int, fps: np.ndarray) -> pa.RecordBatch:
+        n = len(fps)
+        return pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(np.full(n, val)), pa.array(fps.view(np.int64)), pa.nulls(n, pa.int64())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, hot = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            numbers = np.stack([batch.column(i).to_numpy().view(np.uint64) for i in range(2, batch.num_columns)], axis=1)
-            now = (batch.column(0).to_numpy(zero_copy_only=False).astype(object), batch.column(1).to_numpy(), numbers)
+            now = (batch.column(0).to_numpy(zero_copy_only=False).astype(object), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64))
             if held is not None:
                 now = tuple(np.concatenate(x) for x in zip(held, now, strict=True))
-            paths, vals, rows = now
+            paths, vals, fps = now
             if hot is not None:  # the bucket that is being passed on
                 n = int(np.argmin(np.append((paths == hot[0]) & (vals == hot[1]), False)))
                 if n:
-                    yield from over(*hot, rows[:n])
-                paths, vals, rows = paths[n:], vals[n:], rows[n:]
+                    yield over(*hot, fps[:n])
+                paths, vals, fps = paths[n:], vals[n:], fps[n:]
                 held = None
-                if not len(rows):
+                if not len(fps):
                     continue
                 hot = None
-            last = len(rows) - int(np.argmin(np.append(((paths == paths[-1]) & (vals == vals[-1]))[::-1], False)))
+            last = len(fps) - int(np.argmin(np.append(((paths == paths[-1]) & (vals == vals[-1]))[::-1], False)))
             if last:
-                yield from links(paths[:last], vals[:last], rows[:last])
-            held = (paths[last:], vals[last:], rows[last:])
-            if cap is not None and len(held[2]) > cap:
+                yield from links(paths[:last], vals[:last], fps[:last])
+            held = (paths[last:], vals[last:], fps[last:])
+            if len(held[2]) > cap and held[0][0] in dividable:
                 hot = (held[0][0], int(held[1][0]))
-                yield from over(*hot, held[2])
+                yield over(*hot, held[2])
                 held = None
         if held is not None and len(held[2]):
             yield from links(*held)
@@ -281,96 +257,87 @@ def _link(near, n_words: int, n_ids: int, cap: int | None, small: int = 16):
     return run
 
 
-def _probe(df: DataFrame, blocks: list[tuple[str, str, list[int], int]], keep: list[str], base=None) -> DataFrame:
-    """Rows ``(path, val, keep...)`` for every block ``(path, column, bits, threshold)``; among ``keep``, ``fp`` is
-    the block's column."""
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
 
-    def signed(x: int) -> int:
-        return x - (1 << 64) if x >> 63 else x
+def _probe(df: DataFrame, blocks: list[tuple[str, list[int], int]], base=None) -> DataFrame:
+    """Rows ``(path, val, fp)`` for every block ``(path, bits, threshold)``; ``base`` is the bucket that is divided."""
 
     def cleared(values, bits: list[int]):
         """The values, and each with one more of the bits cleared."""
-        masks = F.array(*[F.lit(signed(~(1 << b) & ((1 << 64) - 1))) for b in bits])
+        masks = F.array(*[F.lit(_signed(~(1 << b) & ((1 << 64) - 1))) for b in bits])
         return F.array_distinct(F.concat(values, F.flatten(F.transform(values, lambda x: F.transform(masks, lambda m: x.bitwiseAND(m))))))
 
-    def keys(path: str, column: str, values):
-        return F.transform(values, lambda x: F.struct(F.lit(path).alias("path"), (x if base is None else F.xxhash64(base, x)).alias("val"), F.col(column).alias("fp")))
+    def keys(path: str, values):
+        return F.transform(values, lambda x: F.struct(F.lit(path).alias("path"), (x if base is None else F.xxhash64(base, x)).alias("val")))
 
     rows = []
-    for path, column, bits, threshold in blocks:
-        values = F.array(F.col(column).bitwiseAND(F.lit(signed(sum(1 << b for b in bits)))))
+    for path, bits, threshold in blocks:
+        values = F.array(F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits)))))
         for _ in range(threshold):
             values = cleared(values, bits)
-        rows.append(keys(path, column, values))
-    rest = [c for c in keep if c != "fp"]
-    return df.select(F.explode(F.concat(*rows)).alias("k"), *rest).select("k.path", "k.val", *["k.fp" if c == "fp" else c for c in keep])
+        rows.append(keys(path, values))
+    return df.select(F.explode(F.concat(*rows)).alias("k"), "fp").select("k.path", "k.val", "fp")
 
 
-def _linked(unique: DataFrame, ids: list[str], probes: list[str], words: list[str], near, tau: int, cap: int) -> DataFrame:
-    """Links among distinct rows of ``unique`` as ``(x0, x1...)``, the ids of one end and then of the other.
+def near_links(unique: DataFrame, tau: int = 3, cap: int = 8192) -> DataFrame:
+    """``(a, b)``: links among distinct fingerprints, enough to connect all that are within ``tau`` bits in a row.
 
-    The ``probes`` columns are fingerprints, each searched within ``tau`` bits.  What meets in a bucket is linked if
-    it is ``near`` in its words, which are the probed fingerprint and then ``words``.
+    A bucket over the cap is divided over the bits that its path has not used: tau + 1 parts of these, of which two
+    fingerprints within tau bits agree on one.  Rows passed on are distinct fingerprints of one bucket, so each
+    division spreads them over up to 2^bits buckets of its parts.
     """
-    n, both = bit_statistics(unique, tuple(probes))
-    width = len(ids) + max(1 + len(words), len(ids))
-    schema = "path string, val long, " + ", ".join(f"x{i} long" for i in range(width))
-    ends = [f"x{i}" for i in range(2 * len(ids))]
+    n, both = bit_statistics(unique)
+    schema = "path string, val long, a long, b long"
     if n < 2:
-        return unique.sparkSession.createDataFrame([], schema).select(ends)
-    blocks = [(f"{column}.{i}", column, bits, t) for column, b in zip(probes, both, strict=True) for i, (bits, t) in enumerate(allocate(n, agreement(n, b), tau))]
-    used = {path: set(bits) for path, _, bits, _ in blocks}
-    keep = [*ids, "fp", *words]
-    rows, found = _probe(unique, blocks, keep), []
+        return unique.sparkSession.createDataFrame([], schema).select("a", "b")
+    blocks = [(str(i), bits, t) for i, (bits, t) in enumerate(allocate(n, agreement(n, both), tau))]
+    used = {path: set(bits) for path, bits, _ in blocks}
+    rows, found = _probe(unique, blocks), []
     while True:
-        bounded = any(BITS - len(bits) > tau for bits in used.values())
-        dealt = rows.repartition("path", "val").sortWithinPartitions("path", "val", "fp", *ids)
+        dividable = frozenset(path for path, bits in used.items() if BITS - len(bits) > tau)
+        dealt = rows.repartition("path", "val").sortWithinPartitions("path", "val", "fp")
         with wide_batches(unique.sparkSession):
-            out = materialize(dealt.mapInArrow(_link(near, 1 + len(words), len(ids), cap if bounded else None), schema), "simhash-links")
-        found.append(out.filter("path IS NULL").select(ends))
-        hot = out.filter("path IS NOT NULL").toDF("path", "val", *keep, *ends[len(keep) :])
+            out = materialize(dealt.mapInArrow(_link(tau, cap, dividable), schema), "simhash-links")
+        found.append(out.filter("path IS NULL").select("a", "b"))
+        hot = out.filter("path IS NOT NULL").select("path", "val", F.col("a").alias("fp"))
         paths = [r["path"] for r in hot.select("path").distinct().collect()]  # as many as partitions used so far
         if not paths:
             break
         pieces, then = [], {}
         for path in sorted(paths):
-            done = used[path]
-            rest = [b for b in range(BITS) if b not in done]
-            k = min(tau + 1, max(1, len(rest)))
-            again = [(f"{path}.{i}", "fp", rest[i::k], 0) for i in range(k)]
-            then |= {p: done | set(bits) for p, _, bits, _ in again}
-            pieces.append(_probe(hot.filter(F.col("path") == path), again, keep, F.col("val")))
+            rest = [b for b in range(BITS) if b not in used[path]]
+            again = [(f"{path}.{i}", rest[i :: tau + 1], 0) for i in range(tau + 1)]
+            then |= {p: used[path] | set(bits) for p, bits, _ in again}
+            pieces.append(_probe(hot.filter(F.col("path") == path), again, F.col("val")))
         used, rows = then, reduce(DataFrame.union, pieces)
     return reduce(DataFrame.union, found)
 
 
-def near_links(unique: DataFrame, tau: int = 3, cap: int = 8192) -> DataFrame:
-    """``(a, b)``: links among distinct fingerprints, enough to connect all that are within ``tau`` bits in a row."""
-    rows = unique.select(F.col("fp").alias("id"), F.col("fp").alias("word"))
-    return _linked(rows, ["id"], ["word"], [], within(tau), tau, cap).toDF("a", "b")
-
-
 def _label(rows: DataFrame, unique: DataFrame, linked: DataFrame, key: str, hot_share: int = 1000) -> DataFrame:
-    """``rows`` with the ``component_id`` of their key.
+    """``rows`` with the ``component_id`` of their key, and a name of their ``group``.
 
     Keys with more than one row in ``hot_share`` are fewer than that by count, so they are joined by broadcast, and
     a key that holds a third of all rows is no task of its own.
     """
     touched = linked.join(unique, linked["node"] == unique[key]).select(key, "component", "rep")
     label = touched.groupBy("component").agg(F.min("rep").alias("low"))
-    moved = touched.join(label, "component").select(key, "low")
-    labelled = unique.join(moved, key, "left").select(key, "n", F.coalesce("low", "rep").alias("component_id"))
+    moved = touched.join(label, "component").select(key, "low", "component")
+    labelled = unique.join(moved, key, "left").select(key, "n", F.coalesce("low", "rep").alias("component_id"), F.coalesce(F.col("component").cast("string"), F.col(key).cast("string")).alias("group"))
     labelled = materialize(labelled, "simhash-labels")
     limit = (unique.agg(F.sum("n")).first()[0] or 0) / hot_share
-    hot = labelled.filter(F.col("n") > limit).select(F.col(key).alias("_key"), F.col("component_id"), F.lit(True).alias("_hot"))
+    hot = labelled.filter(F.col("n") > limit).select(F.col(key).alias("_key"), "component_id", "group", F.lit(True).alias("_hot"))
     seen = rows.join(F.broadcast(hot), rows[key] == hot["_key"], "left").drop("_key")
-    common = seen.filter("_hot").select(rows.columns + ["component_id"])
-    rest = seen.filter("_hot IS NULL").select(rows.columns).join(labelled.filter(F.col("n") <= limit).select(key, "component_id"), key)
-    return common.union(rest.select(rows.columns + ["component_id"]))
+    columns = [*rows.columns, "component_id", "group"]
+    common = seen.filter("_hot").select(columns)
+    rest = seen.filter("_hot IS NULL").select(rows.columns).join(labelled.filter(F.col("n") <= limit).select(key, "component_id", "group"), key)
+    return common.union(rest.select(columns))
 
 
 def simhash_groups(docs: DataFrame, width: int = 3, tau: int = 3, seed: int = 42, cap: int = 8192) -> DataFrame:
-    """``(doc_id, fp, component_id)``: groups of documents whose fingerprints link at ``tau`` or fewer bits.
+    """``(doc_id, fp, component_id, group)``: groups of documents whose fingerprints link at ``tau`` or fewer bits;
+    ``group`` names a group.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored.  Texts without words, null among them, have
     fingerprint 0 and link like any other.  Every row gets a row: repeated rows share fingerprint and group.
@@ -384,72 +351,39 @@ def simhash_groups(docs: DataFrame, width: int = 3, tau: int = 3, seed: int = 42
     return _label(fps, unique, linked, "fp")
 
 
-#: Words of a signature, and the columns that hold them.
-PROBES, VERIFY = ["p0", "p1", "p2", "p3"], ["v0", "v1", "v2", "v3"]
-
+def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of each group, all columns: one with the group's smallest id.
 
-def signatures(docs: DataFrame, probe_width: int = 3, width: int = 5) -> DataFrame:
-    """``(doc_id, k0, k1, p0..p3, v0..v3)``: a 128-bit key of the text's words, the probed and verified signatures."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    columns = ["k0", "k1", *PROBES, *VERIFY]
+    ``groups`` has ``(doc_id, key, component_id, group)`` of every row of ``docs``, with keys of texts as
+    ``text_key`` makes them.  Where an id stands on several rows, the row is told by its text: of the group's texts
+    with that id the one with the smallest key, and of its rows the first by all columns.  In groups without any id
+    one row stays in the same way; an empty table gives none.  Only rows whose id is null or repeated are hashed again.
+    """
+    ids = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("low"))
+    ids = materialize(ids.filter("low").select("doc_id", "n"), "keep-ids")
+    kept = docs.join(ids.filter("n = 1"), "doc_id", "left_semi").select(docs.columns)
+    unsure = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).join(ids.filter("n > 1"), "doc_id", "left_semi").union(groups.filter("doc_id IS NULL AND component_id IS NULL"))
+    if not unsure.head(1):
+        return kept
+    name = fresh("key", docs)
+    chosen = unsure.groupBy("group", "doc_id").agg(F.min("key").alias(name)).select(F.col("doc_id").alias("_id"), name).distinct()
+    place, schema = docs.columns.index("text"), T.StructType([*docs.schema, T.StructField(name, T.StringType())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for text in utf8(batch.column(1)):
-            words = text.lower().split()
-            rows.append(xxhash.xxh3_128_digest(b" ".join(words)) + signature(words, probe_width) + signature(words, width))
-        numbers = np.frombuffer(b"".join(rows), ">u8").reshape(-1, len(columns)).astype(np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in numbers.T)], ["doc_id", *columns])
-
-    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in columns))
+        keys = [text_key(t) for t in utf8(batch.column(place))]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.string())], [*batch.schema.names, name])
 
+    candidates = docs.join(ids.filter("n > 1"), "doc_id", "left_semi").select(docs.columns).union(docs.filter("doc_id IS NULL"))
+    keyed = map_batches(candidates, run, schema)
+    same = keyed["doc_id"].eqNullSafe(chosen["_id"]) & (keyed[name] == chosen[name])
+    rows = keyed.join(chosen, same, "left_semi")
+    one = rows.groupBy("doc_id", name).agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias("row"))
+    return kept.union(one.select("row.*"))
 
-def differing_bits(similarity: float) -> int:
-    """Bits of 256 in which SimHash signatures of sets with this Jaccard similarity differ on average."""
-    return round(4 * BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
-
-def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, tau: int = 5, cap: int = 8192) -> DataFrame:
-    """``(doc_id, key, component_id)``: groups of documents whose sets of ``width``-word shingles are similar.
-
-    Texts with equal words (in lower case) are one.  Others link if their 256-bit signatures of ``width``-word
-    shingles differ in no more bits than those of sets with this similarity do on average, and they meet in a
-    bucket.  All meet of which one of four fingerprints of 3-word shingles is within ``tau`` bits; others may.  So
-    the similarity is an estimate with a standard error of about 0.04 at 0.8, and a pair above it is found with high
-    probability, not surely; unlike texts, short ones among them, do not link.  Columns, null and empty texts, null ids and repeated rows are treated as by
-    ``simhash_groups``.
-    """
-    bound_batches(docs.sparkSession)
-    key = F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("k0", "k1")]).alias("key")
-    made = materialize(signatures(docs, width=width), "similar-signatures")
-    unique = materialize(made.groupBy("k0", "k1", *PROBES, *VERIFY).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "similar-unique")
-    links = _linked(unique, ["k0", "k1"], PROBES, VERIFY, within(differing_bits(similarity), first=1), tau, cap)
-    name = lambda a, b: F.concat(*[F.lpad(F.hex(c), 16, "0") for c in (a, b)])
-    linked = connected_components(links.select(name("x0", "x1").alias("a"), name("x2", "x3").alias("b")), "a", "b")
-    return _label(made.select("doc_id", key), unique.select(key, "rep", "n"), linked, "key")
-
-
-def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``groups`` (of ``similar_groups``) names smallest of their group.
-
-    Of repeated rows with one id one stays.  A row without an id goes if its group has an id; of groups without
-    any id, one row of each distinct text stays.
-    """
-    ids = groups.filter("doc_id = component_id").groupBy("doc_id").count()
-    kept = docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    if ids.filter("count > 1").head(1):
-        kept = kept.dropDuplicates(["doc_id"])
-    alone = groups.filter("doc_id IS NULL AND component_id IS NULL").select(F.col("key").alias("_key")).distinct()
-    if alone.head(1):
-        place, schema = docs.columns.index("text"), T.StructType([*docs.schema, T.StructField("_key", T.StringType())])
-
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys = [xxhash.xxh3_128_hexdigest(b" ".join(t.lower().split())).upper() for t in utf8(batch.column(place))]
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.string())], [*batch.schema.names, "_key"])
-
-        nameless = map_batches(docs.filter("doc_id IS NULL"), run, schema)
-        kept = kept.union(nameless.join(alone, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns))
-    return kept
+def text_key(text: bytes) -> str:
+    """128 bits of a text's words in lower case, in hexadecimal digits."""
+    return xxhash.xxh3_128_hexdigest(b" ".join(text.lower().split())).upper()
 
 
 def hex_fingerprint(fp: str = "fp"):

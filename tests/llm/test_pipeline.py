@@ -1,9 +1,9 @@
 import corpus_pipeline
 from flowloom.llm import decontaminate as dc
-from flowloom.llm import simhash
+from flowloom.llm import jaccard, simhash
 
+from .test_jaccard import slow_groups
 from .test_mixing import check as check_mix
-from .test_simhash import same_similar
 
 
 def test_each_stage_against_brute_force(spark, sf, documents):
@@ -16,11 +16,9 @@ def test_each_stage_against_brute_force(spark, sf, documents):
 
     docs = kept
     rows = docs.collect()
-    groups = simhash.similar_groups(docs).collect()
-    same_similar(groups, [(r["doc_id"], r["text"]) for r in rows])
+    low = set(slow_groups([(r["doc_id"], r["text"]) for r in rows]))
     docs = stages["near_duplicates"](spark, docs, sf)
     assert docs.columns == documents.columns
-    low = {r["component_id"] for r in groups}
     assert sorted(r["doc_id"] for r in docs.collect()) == sorted(low) and len(low) < len(rows)
 
     rows = docs.collect()
@@ -44,5 +42,14 @@ def test_stages_on_edge_rows(spark, sf, docs_of):
             if name != "source_mix":
                 assert out.columns == docs.columns
             out.collect()
-    kept = simhash.keep_one(docs_of(rows), simhash.similar_groups(docs_of(rows))).collect()
+    kept = simhash.keep_one(docs_of(rows), jaccard.jaccard_groups(docs_of(rows))).collect()
     assert sorted(str((r["doc_id"], r["text"][:10] if r["text"] else r["text"])) for r in kept) == sorted(map(str, [(1, None), (3, "the and of"), (5, "long long "), (None, "la que de")]))
+
+
+def test_repeated_ids_keep_a_row_of_each_group(docs_of):
+    """One id on two texts, each of which has a copy under another id, and on a copy of a third text."""
+    rows = [(1, "a b c d e f"), (1, "p q r s t u"), (2, "a B c d e f"), (3, "p q r s t u"), (0, "v w x y z"), (1, "v w x y z"), (1, "A b c d e f")]
+    docs = docs_of([(d, t, None, None) for d, t in rows])
+    kept = simhash.keep_one(docs, jaccard.jaccard_groups(docs)).collect()
+    assert sorted((r["doc_id"], r["text"].lower()) for r in kept) == [(0, "v w x y z"), (1, "a b c d e f"), (1, "p q r s t u")]
+    assert [r["text"] for r in kept if r["text"].lower() == "a b c d e f"] == ["A b c d e f"]

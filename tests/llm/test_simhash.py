@@ -55,82 +55,6 @@ def test_edge_rows(docs_of):
     assert [r["component_id"] for r in simhash.simhash_groups(docs_of([(None, "q w e")])).collect()] == [None]
 
 
-def slow_signature(words, width):
-    shingles = [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] or [" ".join(words)]
-    hashes = [int.from_bytes(xxhash.xxh3_128_digest(s.encode(), 1) + xxhash.xxh3_128_digest(s.encode(), 2), "big") for s in shingles]
-    return sum(1 << b for b in range(256) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if words else 0
-
-
-def slow_similar_components(docs, tau=5, similarity=0.8):
-    """Smallest id reachable, over all pairs of rows; a row's own id is None only in groups without ids."""
-    rows = []
-    for d, t in docs:
-        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        rows.append((d, " ".join(words), slow_signature(words, 3), slow_signature(words, 5)))
-    limit, low = simhash.differing_bits(similarity), list(range(len(rows)))
-    pieces = lambda x: [x >> 64 * i & (1 << 64) - 1 for i in range(4)]
-    probe = np.array([pieces(r[2]) for r in rows], np.uint64)
-    verify = np.array([pieces(r[3]) for r in rows], np.uint64)
-
-    def root(i):
-        while low[i] != i:
-            i = low[i]
-        return i
-
-    for i in range(len(rows)):
-        near = (np.bitwise_count(probe[i:] ^ probe[i]) <= tau).any(axis=1) & (np.bitwise_count(verify[i:] ^ verify[i]).sum(axis=1) <= limit)
-        for j in (np.flatnonzero(near) + i).tolist() + [j for j in range(i + 1, len(rows)) if rows[j][1] == rows[i][1]]:
-            a, b = sorted((root(i), root(j)))
-            low[b] = a
-    least = {}
-    for i, r in enumerate(rows):
-        if r[0] is not None:
-            least[root(i)] = min(r[0], least.get(root(i), r[0]))
-    return [least.get(root(i)) for i in range(len(rows))]
-
-
-def same_similar(got, docs):
-    """Between the groups that the fingerprints guarantee and those that the signatures allow."""
-    sure, most = slow_similar_components(docs), slow_similar_components(docs, tau=64)
-    assert Counter(r["doc_id"] for r in got) == Counter(d for d, _ in docs)
-    found = {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None}
-    for (d, _), low, lowest in zip(docs, sure, most, strict=True):
-        if d is not None:
-            assert lowest <= found[d] <= low and found[low] == found[d] and found[found[d]] == found[d]
-    assert Counter(r["component_id"] for r in got if r["doc_id"] is None) == Counter(low for (d, _), low in zip(docs, sure, strict=True) if d is None)
-
-
-def test_similar_groups_whole_table(documents):
-    docs = [(r["doc_id"], r["text"]) for r in documents.collect()]
-    same_similar(simhash.similar_groups(documents).collect(), docs)
-
-
-@pytest.mark.parametrize("cap", [8, 8192])
-def test_similar_groups_find_edited_texts(docs_of, cap):
-    rng = np.random.default_rng(2)
-    words = [f"w{i}" for i in range(3000)]
-    docs, close = [], []
-    for g in range(6):
-        base = rng.choice(words, 300).tolist()
-        for k in range(40):
-            text = list(base)
-            for at in rng.choice(300, k % 5, replace=False):  # a changed word changes 5 of about 296 shingles
-                text[at] = "x"
-            docs.append((100 * g + k, " ".join(text)))
-            close.append(100 * g)
-    docs += [(10000 + i, " ".join(rng.choice(words, int(rng.integers(0, 12))))) for i in range(200)]
-    got = simhash.similar_groups(docs_of(docs), cap=cap).collect()
-    same_similar(got, docs)
-    found = {r["doc_id"]: r["component_id"] for r in got}
-    assert [found[d] for d, _ in docs[:240]] == close
-
-
-def test_similar_groups_edge_rows(docs_of):
-    docs = [(1, None), (2, ""), (None, " "), (5, "A b"), (6, "a  B"), (None, "q r s"), (None, "Q r s"), (7, "long " * 40000), (8, "ä B"), (8, "ä B")]
-    same_similar(simhash.similar_groups(docs_of(docs)).collect(), docs)
-    assert simhash.similar_groups(docs_of([])).collect() == []
-
-
 def test_a_key_of_most_rows_joins_by_broadcast(docs_of):
     docs = [(i, "same words here") for i in range(3000)] + [(5000 + i, f"other words {i} here and there") for i in range(50)]
     same(simhash.simhash_groups(docs_of(docs)).select("doc_id", simhash.hex_fingerprint(), "component_id").collect(), docs)
@@ -170,3 +94,14 @@ def test_thresholds_follow_the_statistics():
     stuck = uniform.copy()  # bits that never differ are useless as keys
     stuck[:16, :16] = 1.0
     assert not any(set(bits) <= set(range(16)) for bits, t in simhash.allocate(10**6, stuck, 3) if t == 0)
+
+
+def test_rows_passed_on_are_separated(spark, monkeypatch):
+    """Far over the cap in one bucket: each division passes on at most tau + 1 rows for one, and few rounds are left."""
+    rng, written, write = np.random.default_rng(3), [], simhash.materialize
+    fps = np.unique(rng.integers(0, 1 << 20, 6000, dtype=np.uint64) << np.uint64(20))
+    monkeypatch.setattr(simhash, "materialize", lambda df, name: written.append(write(df, name)) or written[-1])
+    df = spark.createDataFrame([(int(f),) for f in fps], "fp long")
+    assert simhash.near_links(df, 3, 32).count() > 0
+    passed = [t.filter("path IS NOT NULL").count() for t in written]
+    assert passed[0] > 0 and passed[-1] == 0 and all(b <= 4 * a for a, b in zip(passed, passed[1:], strict=False)) and len(passed) < 8
