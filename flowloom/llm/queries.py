@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 
 from flowloom.llm import chat, decontaminate, languages, licenses, matroska, mixing, simhash, tokens, url_filter, warc
@@ -98,7 +96,6 @@ def _fits(rule: str) -> str:
 
 
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WINDOW, _SHARE = 128, 0.95
 
 
 def _places(phrase: str, label: str) -> str:
@@ -108,7 +105,7 @@ def _places(phrase: str, label: str) -> str:
 
 
 def _templates() -> str:
-    rows = (f"({sorted(set(words))}, '{label}')" for words, label in ((re.findall("[a-z0-9]+", t), x) for t, x in licenses.TEMPLATES.items()))
+    rows = (f"({[' '.join(w.decode() for w in x) for x in sorted(t.tokens)]}, {t.need}, {t.size}, {t.alike}, '{t.label}')" for t in licenses.prepared(licenses.TEMPLATES, 0.8))
     return ", ".join(rows)
 
 
@@ -171,17 +168,23 @@ WITH d AS (
   {" UNION ALL ".join(_places(p, x) for p, x in licenses.PHRASES.items())}
 ), base AS (
   SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS found FROM places GROUP BY doc_id
-), lines AS (
-  SELECT doc_id, regexp_extract_all(line, '{_WORDS}') AS w FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
+), templates AS (
+  SELECT * FROM (VALUES {_templates()}) v(tokens, need, size, alike, label)
+), pairs AS (
+  SELECT doc_id, len(w) AS n, CASE len(w) WHEN 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END AS p FROM d WHERE len(w) > 0
+), numbered AS (
+  SELECT doc_id, p, size, unnest(range(greatest((n - 1) // (size // 2), 1))) AS k FROM pairs, (SELECT DISTINCT size FROM templates)
 ), blocks AS (
-  SELECT doc_id, w AS b FROM lines WHERE len(w) BETWEEN 1 AND {_WINDOW}
-  UNION ALL SELECT doc_id, w[pos + 1 : pos + {_WINDOW}] FROM (
-    SELECT doc_id, w, unnest(range(0, len(w) - {_WINDOW // 2}, {_WINDOW // 2})) AS pos FROM lines WHERE len(w) > {_WINDOW})
-), templates AS (SELECT * FROM (VALUES {_templates()}) v(tw, label)
+  SELECT doc_id, size, k, list_distinct(p[k * (size // 2) + 1 : k * (size // 2) + size - 1]) AS b FROM numbered
+), shares AS (
+  SELECT doc_id, k, label, alike, need, len(tokens) AS n, len(list_intersect(b, tokens)) AS shared FROM blocks JOIN templates USING (size)
 ), matches AS (
-  SELECT doc_id, label, len(list_intersect(list_distinct(b), tw)) / len(tw) AS share FROM blocks, templates
+  SELECT *, 2 * shared - n AS closeness FROM shares WHERE shared >= need
+), closest AS (
+  SELECT * FROM matches m WHERE NOT EXISTS (
+    SELECT 1 FROM matches o WHERE o.doc_id = m.doc_id AND o.alike = m.alike AND abs(o.k - m.k) <= 1 AND o.closeness > m.closeness)
 ), own AS (
-  SELECT doc_id, list(DISTINCT label) AS found, max(share) AS share FROM matches WHERE share >= {_SHARE} - 1e-9 GROUP BY doc_id
+  SELECT doc_id, list(DISTINCT label) AS found, max(shared / n) AS share FROM closest GROUP BY doc_id
 )
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
   coalesce(array_to_string(list_sort(base.found), ','), '') AS base_labels,
