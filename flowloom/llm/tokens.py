@@ -1,14 +1,14 @@
 """Token counts of whole texts, with a shortcut for pre-tokens that are one token.
 
 The counts are those of the ``tokenizers`` library for a BPE file whose pre-tokenizer splits texts into words, runs
-of other symbols and single digits.  Before any text is read, every vocabulary string is encoded alone: those that
-come out as exactly themselves are proven to be one token wherever they are a whole pre-token.  In texts, pre-tokens
-among them count 1 by lookup, and only the others go through the merges, once per distinct pre-token and worker as
-long as the bounded memory of known counts has room.
-
-The own splitting covers texts below U+0180, where normalisation, lower case and letter classes are fixed and known;
-a text beyond goes through the library as a whole.  Special strings inside texts count as one token each, as the
-library's default has it.
+of other symbols and single digits.  Before any text is read, every vocabulary string is encoded alone, once and on
+the driver: those that come out as exactly themselves are proven to be one token wherever they are a whole pre-token.
+In texts, pre-tokens among them count 1 by lookup, and only the others go through the merges, once per distinct
+pre-token and worker as long as the bounded memory of known counts has room.
+
+Texts below U+0180, where normalisation, lower case and letter classes are fixed and known, are split by a pattern of
+our own; all others by the library's normaliser and pre-tokenizer.  Either way the shortcut decides what is merged.
+Special strings inside texts count as one token each, as the library's default has it.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from flowloom.llm.columns import map_batches
+from flowloom.llm.columns import map_batches, share
 
 #: Characters of the own splitting; distinct pre-tokens whose count a worker remembers.
 PLAIN, MOST_KNOWN = 0x180, 1 << 18
@@ -53,9 +53,9 @@ def byte_letters() -> list[str]:
 
 
 class Counter:
-    """Counts tokens of one vocabulary file."""
+    """Counts tokens of one vocabulary file; ``proven`` are the strings that another counter has proven."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, proven: frozenset[str] | None = None):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -68,16 +68,25 @@ class Counter:
             raise ValueError(f"{path}: another kind of tokenizer")
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
         self.pattern, self.letters = _pattern(), byte_letters()
+        self.bytes = {x: i for i, x in enumerate(self.letters)}
         self.table = str.maketrans({i: x for i, x in enumerate(self.letters)})
-        self.single = self._proven(model["vocab"])
+        self.single = proven if proven is not None else self._proven(model["vocab"])
         self.known: dict[str, int] = {}
+        #: Pre-tokens so far, and those of them that are no single token.
+        self.seen = self.merged = 0
 
     def _merged(self, word: str) -> int:
         return len(self.library.model.tokenize(word.encode().decode("latin-1").translate(self.table)))
 
+    def _pretokens(self, text: str) -> list[str]:
+        """Pre-tokens of any text, by the library; it writes each byte as a printable character."""
+        byte = self.bytes
+        norm = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
+        return [bytes(byte[c] for c in piece).decode() for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(norm)]
+
     def _proven(self, vocab: dict[str, int]) -> frozenset[str]:
         """Vocabulary strings that, alone as a pre-token, are encoded as their own single token."""
-        byte, found = {x: i for i, x in enumerate(self.letters)}, []
+        byte, found = self.bytes, []
         for piece, number in vocab.items():
             if self.end and not piece.endswith(self.end):
                 continue
@@ -89,10 +98,11 @@ class Counter:
                 found.append(word)
         return frozenset(found)
 
-    def _plain(self, text: str) -> int:
-        words = self.pattern.findall(text.lower())
+    def _count(self, text: str) -> int:
+        words = self._pretokens(text) if _BEYOND.search(text) else self.pattern.findall(text.lower())
         single, known = self.single, self.known
         rest = [w for w in words if w not in single]
+        self.seen, self.merged = self.seen + len(words), self.merged + len(rest)
         total = len(words) - len(rest)
         for w in rest:
             n = known.get(w)
@@ -105,11 +115,9 @@ class Counter:
 
     def count(self, text: str) -> int:
         """Tokens of a text, without added begin and end."""
-        if _BEYOND.search(text):
-            return len(self.library.encode(text, add_special_tokens=False).ids)
-        if "<|" in text:
-            return sum(map(self._plain, self.special.split(text))) + len(self.special.findall(text))
-        return self._plain(text)
+        if self.special.search(text):
+            return sum(map(self._count, self.special.split(text))) + len(self.special.findall(text))
+        return self._count(text)
 
 
 def _shared(path: str, make: Callable[[str], Counter]) -> Counter:
@@ -128,9 +136,10 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFra
     rows and null ids are counted like others; an empty table gives no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    proven = share(docs.sparkSession, Counter(vocabulary).single)  # strings of the vocabulary at most
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counter = _shared(vocabulary, Counter)
+        counter = _shared(vocabulary, lambda path: Counter(path, proven()))
         texts = batch.column(1)
         n = np.array([counter.count(t or "") for t in texts.to_pylist()], np.int64)
         n_bytes = [len(t or b"") for t in texts.cast(pa.binary()).to_pylist()]

@@ -62,3 +62,38 @@ def test_edge_rows(docs_of):
     got = tokens.count_tokens(docs_of(rows), PATH, limit=1).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, 0, 0, False), (2, 0, 0, False), (None, 9, 2, True), (3, 1, 1, False), (3, 1, 1, False)]))
     assert tokens.count_tokens(docs_of([]), PATH).collect() == []
+
+
+TEXTS = [
+    "It\u2019s \u201cquoted\u201d \u2013 and \u2014 dashed\u2026 I\u2019LL don't",
+    "Съешь же ещё этих мягких французских булок", "Ξεσκεπάζω την ψυχοφθόρα βδελυγμία ΣΑΣ", "天地玄黃 宇宙洪荒。1２３",
+    "🙂🙂 👩‍👩‍👧 ok", "e\u0301 A\u030a o\u0308\u0323 ﬁ ﷺ", "\u0130stanbul ǅ ŉ ſ", "a\u200bb\u00a0c\u3000d\u2028e", "<|endoftext|>\u2019<|startoftext|>x",
+]
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_texts_beyond_latin(library, counter, text):
+    for t in (text, f"plain words before {text}", text * 50, text.upper()):
+        assert counter.count(t) == n(library, t), t
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("'sSt <|>endoftx\u2019\u201c\u2013")), max_size=30))
+def test_random_texts_of_all_characters(library, counter, text):
+    assert counter.count(text) == n(library, text)
+
+
+def test_the_shortcut_takes_most_pretokens_of_every_text():
+    """One curly quote or dash in a text leaves the method as it is: the same pre-tokens are merged as without."""
+    counter = tokens.Counter(PATH)
+    words = "the people of the city have seen that there is more to this than it was said before "
+    counter.count(words * 20)
+    plain = (counter.seen, counter.merged)
+    counter.seen = counter.merged = 0
+    counter.count(words * 20 + "\u2013")
+    assert counter.seen == plain[0] + 1 and counter.merged <= plain[1] + 1 and plain[1] == 0
+
+
+def test_proof_is_made_once(monkeypatch, counter):
+    monkeypatch.setattr(tokens.Counter, "_proven", lambda *_: pytest.fail("proven again"))
+    assert tokens.Counter(PATH, counter.single).count("two words") == 2
