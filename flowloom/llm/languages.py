@@ -4,11 +4,16 @@ A document is a mixture of languages.  Each language has a distribution over byt
 of cells, smoothed); expectation-maximisation finds the proportions under which the document's n-grams are most
 likely.  Which languages are in the mixture is a choice by penalised likelihood: starting from the best single
 language, the language that helps most is added as long as the log-likelihood grows by more than the penalty of one
-more proportion.  The likelihood of the mixture of all languages bounds every choice from above, so most documents
-are settled by one comparison.
+more proportion; where none is, pairs of others are tried.  Then single languages are dropped or exchanged while that
+helps.
+
+The likelihood is concave in the proportions.  So at any proportions, the logarithm of the largest gradient component
+(the mean over n-grams of a language's probability by the mixture's) times the number of n-grams bounds how much more
+any mixture of the languages can reach.  It proves that expectation-maximisation has converged, and that languages
+with a component below the penalty need not be tried; most documents are settled by it at the first language.
 
 Training counts n-grams of all labelled rows in one distributed aggregation; the model is languages x cells and is
-bounded by MOST_LANGUAGES.
+bounded by MOST_LANGUAGES, beyond which training fails: such a model would have to be cut by cells.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ CELLS, MOST_LANGUAGES = 1 << 15, 256
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: A to Z in lower case; other ASCII that is no letter stands for a word boundary.
 _FOLD = bytes(32 if (c := _LOWER[i]) < 128 and not 97 <= c <= 122 else c for i in range(256))
+#: Log-likelihood by which an exchange of languages must help: that of converged mixtures is known this closely.
+CLOSE = 2e-3
 #: Bytes of a text counted at once.
 _CHUNK = 1 << 20
 
@@ -57,41 +64,87 @@ class Model:
         self.prob = (smooth / smooth.sum(axis=1, keepdims=True)).T.copy() if names else np.zeros((CELLS, 0))
         self.log = np.log(self.prob)
 
-    def mixture(self, counts: np.ndarray, prob: np.ndarray, rounds: int = 25, close: float = 1e-4) -> tuple[np.ndarray, float]:
-        """Proportions of these languages by expectation-maximisation, and the log-likelihood."""
+    def mixture(self, counts: np.ndarray, prob: np.ndarray, rounds: int = 5000, close: float = 1e-3) -> tuple[np.ndarray, float]:
+        """Proportions of these languages by expectation-maximisation, and the log-likelihood, which is within
+        ``close`` of the largest."""
         k = prob.shape[1]
         share, n = np.full(k, 1 / k), counts.sum()
+        if k == 1:
+            return share, float(counts @ np.log(prob[:, 0]))
         for _ in range(rounds):
             mixed = prob @ share
-            now = share * (counts / mixed @ prob) / n
-            moved = np.abs(now - share).max()
-            share = now
-            if moved < close:
+            gradient = counts / mixed @ prob / n
+            if n * math.log(gradient.max()) <= close:
                 break
+            share = share * gradient
+            share /= share.sum()
         return share, float(counts @ np.log(prob @ share))
 
+    def most_gain(self, counts: np.ndarray, prob: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+        """For each language of ``prob``, a bound of how much a mixture of ``mixed`` and it can gain."""
+        gradient = counts / mixed @ prob / counts.sum()
+        return counts.sum() * np.log(np.maximum(gradient, 1.0))
+
+    def _chosen(self, counts: np.ndarray, prob: np.ndarray, alone: np.ndarray, penalty: float) -> tuple[list[int], np.ndarray, float]:
+        """The languages, their proportions and the log-likelihood."""
+        chosen, share = [int(np.argmax(alone))], np.ones(1)
+        best, cost = float(alone[chosen[0]]), penalty + 0.5 * math.log(counts.sum())
+        every = range(prob.shape[1])
+
+        def with_one(base: list[int], share: np.ndarray, likely: float, least: float) -> tuple[list[int], np.ndarray, float] | None:
+            """``base`` and the language that helps most, where that reaches more than ``least``."""
+            gain, top = self.most_gain(counts, prob, prob[:, base] @ share), None
+            for j in sorted((j for j in every if j not in base), key=lambda j: -gain[j]):
+                if likely + gain[j] <= least:
+                    break
+                tried = self.mixture(counts, prob[:, [*base, j]])
+                if tried[1] > least:
+                    top, least = ([*base, j], *tried), tried[1]
+            return top
+
+        while more := with_one(chosen, share, best, best + cost):
+            chosen, share, best = more
+        if len(chosen) == 1 and self.most_gain(counts, prob, prob[:, chosen[0]]).max() > cost and self.mixture(counts, prob)[1] - best > cost:
+            for i in every:  # no second language helps the best one enough, but two others may be better
+                if more := with_one([i], np.ones(1), float(alone[i]), max(best, float(alone[chosen[0]]) + cost)):
+                    chosen, share, best = more
+            while len(chosen) > 1 and (more := with_one(chosen, share, best, best + cost)):
+                chosen, share, best = more
+        moved = len(chosen) > 1
+        while moved:
+            moved = False
+            for i in chosen:
+                rest = [j for j in chosen if j != i]
+                fewer = self.mixture(counts, prob[:, rest])
+                if fewer[1] >= best - cost:
+                    chosen, share, best, moved = rest, *fewer, len(rest) > 1
+                    break
+                if other := with_one(rest, *fewer, best + CLOSE):
+                    chosen, share, best = other
+                    moved = True
+                    break
+        return chosen, share, best
+
     def languages(self, text: bytes, penalty: float = 6.0) -> list[tuple[str, float]]:
         """The chosen languages with their proportions, largest first."""
+        return self.explained(text, penalty)[0]
+
+    def explained(self, text: bytes, penalty: float = 6.0) -> tuple[list[tuple[str, float]], float]:
+        """The chosen languages, and by how much their mixture makes an n-gram likelier than noise does, on average:
+        noise has all cells equally often."""
         counts = ngram_counts(text)
         cells = np.flatnonzero(counts)
         if not len(cells) or not self.names:
-            return []
-        c, prob = counts[cells].astype(np.float64), self.prob[cells]
-        alone = c @ self.log[cells]
-        chosen, share = [int(np.argmax(alone))], np.ones(1)
-        best, cost = float(alone[chosen[0]]), penalty + 0.5 * math.log(c.sum())
-        if len(self.names) > 1 and self.mixture(c, prob)[1] - best > cost:
-            while len(chosen) < len(self.names):
-                tried = [(*self.mixture(c, prob[:, [*chosen, j]]), j) for j in range(len(self.names)) if j not in chosen]
-                grown, likely, j = max(tried, key=lambda x: x[1])
-                if likely - best <= cost:
-                    break
-                chosen, share, best = [*chosen, j], grown, likely
-        return sorted(((self.names[j], float(s)) for j, s in zip(chosen, share, strict=True)), key=lambda x: (-x[1], x[0]))
+            return [], 0.0
+        c = counts[cells].astype(np.float64)
+        chosen, share, likely = self._chosen(c, self.prob[cells], c @ self.log[cells], penalty)
+        found = sorted(((self.names[j], float(s)) for j, s in zip(chosen, share, strict=True)), key=lambda x: (-x[1], x[0]))
+        return found, likely / float(c.sum()) + math.log(CELLS)
 
 
 def train(labelled: DataFrame, text: str = "text", label: str = "lang") -> Model:
-    """A model from all rows with text and label; rows without either teach nothing."""
+    """A model from all rows with text and label; rows without either teach nothing, repeated rows teach again, and a
+    table without any gives a model without languages."""
     bound_batches(labelled.sparkSession)
     rows = labelled.filter(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(label).alias("lang"), F.col(text).alias("text"))
 
@@ -146,8 +199,10 @@ def identify(docs: DataFrame, model: Model, penalty: float = 6.0) -> DataFrame:
 def keep_identified(docs: DataFrame, model: Model, min_share: float = 1 / 3, penalty: float = 6.0) -> DataFrame:
     """The rows of ``docs``, all columns, whose text has a language with at least ``min_share`` of the mixture.
 
-    Rows that ``identify`` calls ``und`` go, and so do mixtures of so many languages that none has that share.
-    The decision is made where the text is read, so nothing is shuffled.
+    Rows that ``identify`` calls ``und`` go, and so do mixtures of so many languages that none has that share, and
+    texts that the mixture explains no better than noise does: languages that were not learned, strings of random
+    letters.  Repeated rows are judged alike; an empty table gives none, and so does a model without languages.  The
+    decision is made where the text is read, so nothing is shuffled.
     """
     bound_batches(docs.sparkSession)
     shared, place = share(docs.sparkSession, model), docs.columns.index("text")
@@ -156,8 +211,8 @@ def keep_identified(docs: DataFrame, model: Model, min_share: float = 1 / 3, pen
         for batch in batches:
             keep = []
             for text in batch.column(place).to_pylist():
-                found = shared().languages(text.encode(), penalty) if _letters(text) else []
-                keep.append(bool(found) and found[0][1] >= min_share)
+                found, over_noise = shared().explained(text.encode(), penalty) if _letters(text) else ([], 0.0)
+                keep.append(bool(found) and found[0][1] >= min_share and over_noise > 0)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -54,20 +54,50 @@ def test_mixtures_are_found(documents, model):
         assert model.languages(text.encode())[0][0] == k
 
 
-def test_selection_is_the_best_penalised_set():
-    rng = np.random.default_rng(1)
-    counts = rng.random((4, la.CELLS)) ** 8 * 1000
-    model = la.Model(list("abcd"), counts)
-    for text in (b"some words in no language at all " * 3, bytes(rng.integers(97, 123, 400, dtype=np.uint8)), b"x"):
-        c = la.ngram_counts(text)
+def similar_languages(rng, k):
+    """Languages that are mixtures of a few sources, each with a little of its own."""
+    base = rng.random((3, la.CELLS)) ** 8
+    return np.array([rng.dirichlet(np.ones(3)) @ base + 0.15 * rng.random(la.CELLS) ** 8 for _ in range(k)]) * 1000
+
+
+@pytest.mark.parametrize("k", [4, 12])
+def test_selection_is_the_best_penalised_set(k):
+    """No set of up to three languages has a larger penalised likelihood, over texts drawn from one to three of them."""
+    rng = np.random.default_rng(k)
+    model = la.Model([f"l{i:02}" for i in range(k)], similar_languages(rng, k))
+    sizes = set()
+    for i in range(12):
+        of = rng.choice(k, 1 + i % 3, replace=False)
+        c = np.bincount(rng.choice(la.CELLS, int(rng.choice([50, 400, 3000])), p=model.prob[:, of].mean(axis=1)), minlength=la.CELLS)
         cells = np.flatnonzero(c)
-        cost = 6.0 + 0.5 * math.log(c.sum())
-        value = {}
-        for n in (1, 2, 3, 4):
-            for s in itertools.combinations(range(4), n):
-                value[s] = model.mixture(c[cells].astype(float), model.prob[cells][:, list(s)], rounds=500, close=1e-9)[1] - cost * (n - 1)
-        got = tuple(sorted("abcd".index(k) for k, _ in model.languages(text)))
-        assert value[got] >= max(value.values()) - 2.0
+        counts, prob, cost = c[cells].astype(float), model.prob[cells], 6.0 + 0.5 * math.log(c.sum())
+        chosen, share, likely = model._chosen(counts, prob, counts @ model.log[cells], 6.0)
+        assert likely == pytest.approx(counts @ np.log(prob[:, chosen] @ share))
+        for n in (1, 2, 3):
+            for s in itertools.combinations(range(k), n):
+                assert model.mixture(counts, prob[:, list(s)])[1] - cost * (n - 1) <= likely - cost * (len(chosen) - 1) + 0.01
+        sizes.add(len(chosen))
+    assert len(sizes) > 1
+
+
+def test_bound_holds_and_closes():
+    rng = np.random.default_rng(7)
+    model = la.Model([f"l{i}" for i in range(8)], similar_languages(rng, 8))
+    c = np.bincount(rng.choice(la.CELLS, 500, p=model.prob[:, :2].mean(axis=1)), minlength=la.CELLS).astype(float)
+    share, best = model.mixture(c, model.prob, close=1e-6)
+    assert share.sum() == pytest.approx(1)
+    for _ in range(50):
+        any_share = rng.dirichlet(np.ones(8))
+        likely = c @ np.log(model.prob @ any_share)
+        assert likely <= best + 1e-6 <= likely + model.most_gain(c, model.prob, model.prob @ any_share).max() + 1e-5
+
+
+def test_only_what_the_model_explains_is_kept(docs_of, documents, model):
+    texts = ["Съешь же ещё этих мягких французских булок", "天地玄黃宇宙洪荒", "xqzj vkwq zzxq qqxz", "the and of that with", None, "", "12 !", "la que de los"]
+    kept = la.keep_identified(docs_of(list(enumerate(texts))), model).collect()
+    assert sorted(r["doc_id"] for r in kept) == [3, 7]
+    assert la.keep_identified(docs_of([]), model).collect() == []
+    assert la.keep_identified(documents, model).count() == sum(any(map(str.isalpha, r["text"] or "")) for r in documents.collect())
 
 
 def test_edge_rows(docs_of, model):
