@@ -9,7 +9,7 @@ a ``</turn>`` are escaped with a backslash, inside roles also every colon, so no
 another one, and reading back is exact.
 
 A conversation is read as a sorted stream, and a task holds its rendered prefix, which is what a single output row
-holds, never its rows.
+holds, never its rows.  A conversation is one task: each of its examples holds all that is before it.
 """
 
 from __future__ import annotations
@@ -100,11 +100,14 @@ def format_conversations(turns: DataFrame, target_role: str = "assistant") -> Da
     return dealt.mapInArrow(run, schema)
 
 
-def read_back(examples: DataFrame) -> DataFrame:
+def read_back(examples: DataFrame, in_order: bool = False) -> DataFrame:
     """Digests per conversation, from the text of ``format_conversations`` alone.
 
     ``(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars)``: turns as role, line feed, text,
     line feed; trainable text of all examples in order; ``formatted_chars`` is the length of all its examples.
+    Every example must begin with the whole one before it, else reading fails, and so do repeated examples.  Null ids
+    are one conversation; an empty table gives no rows.  With ``in_order`` the examples are taken to come as
+    ``format_conversations`` returns them, and nothing is shuffled; tables that were written and read again do not.
     """
     kind = examples.schema["conv_id"].dataType.simpleString()
     schema = f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -125,7 +128,9 @@ def read_back(examples: DataFrame) -> DataFrame:
                 if (key,) != conv:
                     if conv:
                         rows.append(result())
-                    conv, loss, chars, total = (key,), hashlib.sha256(), 0, 0
+                    conv, last, loss, chars, total = (key,), "", hashlib.sha256(), 0, 0
+                if not text.startswith(last) or len(text) == len(last):
+                    raise ValueError(f"an example of conversation {key} does not continue the one before it")
                 last, total = text, total + len(text)
                 if begin is not None:
                     span = unescape(text[begin:end])
@@ -141,4 +146,8 @@ def read_back(examples: DataFrame) -> DataFrame:
         names = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
+    examples = examples.select("conv_id", "example", "text", "loss_start", "loss_end")
+    if not in_order:
+        examples = examples.repartition("conv_id").sortWithinPartitions("conv_id", "example")
+    bound_batches(examples.sparkSession)
     return examples.mapInArrow(run, schema)

@@ -1,9 +1,10 @@
 """Media columns in Matroska: a muxer for raw bytes, and a parser from files to packet tables.
 
 The parser reads variable-length EBML elements: segments and clusters of known or unknown size, simple blocks and
-block groups, all lacings (none, Xiph, EBML, fixed), default durations and cues.  Each frame becomes a packet with
-its track, timestamp and byte range, so readers can fetch frames from the stored bytes without parsing again.
-Damaged files yield the packets before the damage and a message.
+block groups, all lacings (none, Xiph, EBML, fixed), default and block durations, header stripping and cues.  Each
+frame becomes a packet with its track, timestamp and byte range, so readers can fetch frames from the stored bytes
+without parsing again.  Damaged files yield the packets before the damage and a message, and so do files whose frames
+are compressed or encrypted: their byte ranges would not be frames.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ EBML, DOC_TYPE, SEGMENT, INFO, TIMESTAMP_SCALE, DURATION = 0x1A45DFA3, 0x4282, 0
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83
 CODEC_ID, DEFAULT_DURATION, AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0x86, 0x23E383, 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
+BLOCK_DURATION, REFERENCE, MUXING_APP, WRITING_APP = 0x9B, 0xFB, 0x4D80, 0x5741
+ENCODINGS, ENCODING, COMPRESSION, ALGORITHM, SETTINGS, ENCRYPTION, STRIPPED = 0x6D80, 0x6240, 0x5034, 0x4254, 0x4255, 0x5035, 3
 CUES, CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 #: Elements that end a cluster of unknown size.
 TOP_LEVEL = {CLUSTER, CUES, INFO, TRACKS, 0x1254C367, 0x114D9B74, 0x1043A770, 0x1941A469, SEGMENT, EBML}
@@ -31,6 +34,7 @@ NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
 
 #: The muxer's own layout: bytes of a frame, frames of a block, blocks of a cluster, samples a second.
 FRAME, LACED, BLOCKS, RATE = 512, 8, 16, 8000
+APP = b"flowloom"
 
 
 # --- writing
@@ -75,7 +79,7 @@ def mux(payload: bytes) -> bytes:
     """
     ms = FRAME * 1000 // RATE
     head = element(EBML, element(DOC_TYPE, b"matroska"))
-    info = element(INFO, number(TIMESTAMP_SCALE, 1_000_000) + element(DURATION, struct.pack(">d", len(payload) * 1000 / RATE)))
+    info = element(INFO, number(TIMESTAMP_SCALE, 1_000_000) + element(MUXING_APP, APP) + element(WRITING_APP, APP) + element(DURATION, struct.pack(">d", len(payload) * 1000 / RATE)))
     audio = element(AUDIO, element(SAMPLING, struct.pack(">d", float(RATE))) + number(CHANNELS, 1) + number(BIT_DEPTH, 8))
     entry = number(TRACK_NUMBER, 1) + number(TRACK_UID, 1) + number(TRACK_TYPE, 2) + element(CODEC_ID, b"A_PCM/INT/LIT") + number(DEFAULT_DURATION, ms * 1_000_000) + audio
     parts = [info, element(TRACKS, element(TRACK_ENTRY, entry))]
@@ -101,6 +105,7 @@ class Parsed:
     tracks: list[tuple[int, int, str]] = field(default_factory=list)  # number, type, codec
     packets: list[tuple[int, int, int, int, bool, int]] = field(default_factory=list)  # track, ns, offset, size, key, cluster
     cues: list[tuple[int, int, int]] = field(default_factory=list)  # ns, track, byte offset of the cluster
+    stripped: dict[int, bytes] = field(default_factory=dict)  # what each frame of a track begins with and does not store
     clusters: int = 0
     duration_ns: float = 0.0
     error: str | None = None
@@ -190,7 +195,7 @@ class _Parser:
             at = stop
 
     def track(self, at: int, end: int) -> None:
-        n, kind, codec, default = 0, 0, "", 0
+        n, kind, codec, default, stripped = 0, 0, "", 0, b""
         for child, a, b, _ in self.children(at, end):
             if child == TRACK_NUMBER:
                 n = self.uint(a, b)
@@ -200,9 +205,25 @@ class _Parser:
                 codec = self.data[a:b].decode("ascii", "replace")
             elif child == DEFAULT_DURATION:
                 default = self.uint(a, b)
+            elif child == ENCODINGS:
+                stripped = self.encodings(a, b)
+        if stripped:
+            self.out.stripped[n] = stripped
         self.out.tracks.append((n, kind, codec))
         self.defaults[n] = default
 
+    def encodings(self, at: int, end: int) -> bytes:
+        """The bytes that header stripping has taken from each frame; another encoding is an error."""
+        stripped = b""
+        for child, a, b, _ in self.children(at, end):
+            if child == ENCODING:
+                inside = {c: (x, y) for c, x, y, _ in self.children(a, b)}
+                how = {c: (x, y) for c, x, y, _ in self.children(*inside[COMPRESSION])} if COMPRESSION in inside else {}
+                if ENCRYPTION in inside or ALGORITHM not in how or self.uint(*how[ALGORITHM]) != STRIPPED:
+                    raise ValueError(f"frames are compressed or encrypted, at byte {a}")
+                stripped += self.data[slice(*how[SETTINGS])] if SETTINGS in how else b""
+        return stripped
+
     def cue(self, at: int, end: int) -> None:
         time, places = 0, []
         for child, a, b, _ in self.children(at, end):
@@ -225,15 +246,16 @@ class _Parser:
             if id_ == TIMESTAMP:
                 time = self.uint(start, stop)
             elif id_ == SIMPLE_BLOCK:
-                self.block(start, stop, time, None)
+                self.block(start, stop, time)
             elif id_ == BLOCK_GROUP:
                 found = {c: (a, b) for c, a, b, _ in self.children(start, stop)}
                 if BLOCK in found:  # a group that refers to no other block is a key frame
-                    self.block(*found[BLOCK], time, 0xFB not in found)
+                    lasts = self.uint(*found[BLOCK_DURATION]) * self.scale if BLOCK_DURATION in found else 0
+                    self.block(*found[BLOCK], time, REFERENCE not in found, lasts)
             at = stop
         return end
 
-    def block(self, at: int, end: int, cluster_time: int, key: bool | None) -> None:
+    def block(self, at: int, end: int, cluster_time: int, key: bool | None = None, lasts: int = 0) -> None:
         track, at = self.vint(at, end)
         if at + 3 > end:
             raise ValueError(f"cut block at byte {at}")
@@ -270,7 +292,7 @@ class _Parser:
         rest = end - at - sum(sizes)
         if rest < 0 or min(sizes, default=0) < 0:
             raise ValueError(f"lace beyond its block at byte {at}")
-        base, step = (cluster_time + time) * self.scale, self.defaults.get(track, 0)
+        base, step = (cluster_time + time) * self.scale, self.defaults.get(track, 0) or lasts // (len(sizes) + 1)
         for i, size in enumerate([*sizes, rest]):
             self.out.packets.append((track, base + i * step, at, size, bool(flags >> 7) if key is None else key, self.out.clusters - 1))
             at += size
@@ -280,12 +302,36 @@ def parse(data: bytes | None) -> Parsed:
     return _Parser(data or b"").file()
 
 
+def packets_from(data: bytes, place: int) -> list[tuple[int, int, int, int, bool, int]]:
+    """Packets of the one cluster that begins at a byte, without anything before it being read; times count from
+    the file's scale of 1 ms."""
+    parser = _Parser(data)
+    id_, start, stop = parser.head(place, len(data))
+    if id_ != CLUSTER:
+        raise ValueError(f"no cluster at byte {place}")
+    parser.cluster(start, len(data) if stop is None else stop, stop is None)
+    return parser.out.packets
+
+
+def tail(data: bytes, got: Parsed, n: int, track: int = 1) -> bytes:
+    """The last ``n`` bytes of a track: the cues lead to its last clusters, and only these are read again."""
+    parts: list[bytes] = []
+    for place in sorted({at for _, t, at in got.cues if t == track}, reverse=True):
+        parts.insert(0, b"".join(got.stripped.get(track, b"") + data[a : a + size] for t, _, a, size, _, _ in packets_from(data, place) if t == track))
+        if sum(map(len, parts)) >= n:
+            break
+    return b"".join(parts)[-n:]
+
+
 # --- tables
 
 
 def to_media(docs: DataFrame, pad: int = 64) -> DataFrame:
     """``(doc_id, n_bytes, media)``: each whole text in UTF-8, padded with zeros to a positive multiple of ``pad``,
-    stored as the samples of a Matroska file.  Null text is empty; other columns are ignored."""
+    stored as the samples of a Matroska file.
+
+    Null text is empty; other columns are ignored; repeated rows and null ids give a file each, an empty table none.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -296,22 +342,32 @@ def to_media(docs: DataFrame, pad: int = 64) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_bytes long, media binary")
 
 
+#: A packet's columns after the file's key.
+_PACKET = "track long, codec string, packet long, timestamp_ns long, byte_offset long, byte_size long, keyframe boolean, cluster long, cued boolean"
+
+
+def packet_rows(got: Parsed) -> list[tuple]:
+    """Rows of ``packet_table`` without key and error."""
+    codec, cues = {n: c for n, _, c in got.tracks}, {(ns, t) for ns, t, _ in got.cues}
+    return [(t, codec.get(t), i, ns, at, n, key, c, (ns, t) in cues) for i, (t, ns, at, n, key, c) in enumerate(got.packets)]
+
+
 def packet_table(files: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
     """``(key, track, codec, packet, timestamp_ns, byte_offset, byte_size, keyframe, cluster, cued, error)``.
 
     One row per frame in file order; ``cued`` says whether a cue points at the frame's cluster and track at the
     time of the frame.  A file without any packet gives one row whose packet columns are null; ``error`` is the
-    damage at which parsing stopped.  Null media is an empty file.
+    damage at which parsing stopped.  Null media is an empty file, repeated rows are files of their own, an empty
+    table has no packets.
     """
     kind = files.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, track long, codec string, packet long, timestamp_ns long, byte_offset long, byte_size long, keyframe boolean, cluster long, cued boolean, error string"
+    schema = f"{key} {kind}, {_PACKET}, error string"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             got = parse(data)
-            codec, cues = {n: c for n, _, c in got.tracks}, {(ns, t) for ns, t, _ in got.cues}
-            rows += [(k, t, codec.get(t), i, ns, at, n, key_, c, (ns, t) in cues, got.error) for i, (t, ns, at, n, key_, c) in enumerate(got.packets)] or [(k, *[None] * 9, got.error)]
+            rows += [(k, *row, got.error) for row in packet_rows(got)] or [(k, *[None] * 9, got.error)]
         types = [batch.schema.field(0).type, pa.int64(), pa.string(), *[pa.int64()] * 4, pa.bool_(), pa.int64(), pa.bool_(), pa.string()]
         names = [f.split()[0] for f in schema.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -320,8 +376,9 @@ def packet_table(files: DataFrame, key: str = "doc_id", media: str = "media") ->
 
 
 def demux(data: bytes, got: Parsed, track: int = 1) -> bytes:
-    """The frames of a track, joined."""
-    return b"".join(data[at : at + n] for t, _, at, n, _, _ in got.packets if t == track)
+    """The frames of a track, fetched by the byte ranges of its packet rows and joined."""
+    head = got.stripped.get(track, b"")
+    return b"".join(head + data[at : at + n] for t, _, _, _, at, n, _, _, _ in packet_rows(got) if t == track)
 
 
 def feature(payload: bytes, got: Parsed) -> str:
@@ -332,7 +389,12 @@ def feature(payload: bytes, got: Parsed) -> str:
 
 
 def media_digests(files: DataFrame) -> DataFrame:
-    """Digests of media as ``to_media`` makes them, from the stored bytes: parsed, demuxed and hashed."""
+    """``(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature)`` of media as
+    ``to_media`` makes them, from the stored bytes.
+
+    The payload is what the packets' byte ranges hold, its last 64 bytes are fetched through the cues.  A file that
+    does not parse is an error.  Repeated rows and null ids are digested like others; an empty table gives no rows.
+    """
     kind = files.schema["doc_id"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -342,7 +404,7 @@ def media_digests(files: DataFrame) -> DataFrame:
             if got.error:
                 raise ValueError(got.error)
             payload = demux(data, got)
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload, got)))
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(tail(data, got, 64)), len(data), hashlib.sha256(data).hexdigest(), feature(payload, got)))
         types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])

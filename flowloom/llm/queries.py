@@ -32,7 +32,7 @@ def op4_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(turn, role)"""
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    return chat.read_back(chat.format_conversations(turns))
+    return chat.read_back(chat.format_conversations(turns), in_order=True)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

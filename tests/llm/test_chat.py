@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -56,3 +57,16 @@ def test_whole_table(spark, sf):
     probe = r"\### Assistant: </turn> ok"
     check(QUERIES["op4_chat_prefix_targets"](spark, sf).collect(), [*turns, (-7, 0, "user", probe), (-7, 1, "assistant", probe)])
     assert "op4_chat_prefix_targets" in SQL
+
+
+def test_written_examples_are_read_back(spark, tmp_path):
+    """Examples that were written, read again and spread over other partitions."""
+    rows = [(c, n, "user" if n % 2 == 0 else "assistant", f"text {c} {n}") for c in range(9) for n in range(7)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    chat.format_conversations(df).write.parquet(str(tmp_path / "chat"))
+    again = spark.read.parquet(str(tmp_path / "chat")).repartition(5, "text")
+    check(chat.read_back(again).collect(), rows)
+    assert sorted(map(str, chat.read_back(again).collect())) == sorted(map(str, chat.read_back(chat.format_conversations(df), in_order=True).collect()))
+    broken = again.filter("NOT (conv_id = 3 AND example = 1)").union(again.filter("conv_id = 4 AND example = 0").selectExpr("3L", "1", "text", "loss_start", "loss_end"))
+    with pytest.raises(Exception, match="does not continue"):
+        chat.read_back(broken).collect()

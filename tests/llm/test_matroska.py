@@ -96,3 +96,37 @@ def test_edge_rows(docs_of):
 def test_packets_of_no_media(spark):
     df = spark.createDataFrame([(1, None), (2, b"nonsense")], "doc_id long, media binary")
     assert [(r["doc_id"], r["packet"], bool(r["error"])) for r in mk.packet_table(df).collect()] == [(1, None, True), (2, None, True)]
+
+
+def test_tail_is_fetched_through_the_cues(monkeypatch):
+    for n in (64, 512, 70_016, 200_000):
+        payload = bytes(i * 7 % 251 for i in range(n))
+        data = mk.mux(payload)
+        got = mk.parse(data)
+        for size in (1, 64, 65_536):
+            assert mk.tail(data, got, size) == payload[-size:]
+    read = []
+    monkeypatch.setattr(mk, "packets_from", lambda data, place, f=mk.packets_from: read.append(place) or f(data, place))
+    mk.tail(data, got, 64)
+    assert read == [got.cues[-1][2]] and len(got.cues) > 2
+
+
+def test_header_stripping_and_other_encodings():
+    def track(algorithm):
+        how = mk.element(mk.COMPRESSION, mk.number(mk.ALGORITHM, algorithm) + mk.element(mk.SETTINGS, b"AB"))
+        return mk.element(mk.TRACKS, mk.element(mk.TRACK_ENTRY, mk.number(mk.TRACK_NUMBER, 1) + mk.element(mk.ENCODINGS, mk.element(mk.ENCODING, how))))
+
+    cluster = mk.element(mk.CLUSTER, mk.number(mk.TIMESTAMP, 0) + mk.block(1, 0, [b"x", b"yz"], mk.XIPH))
+    head = mk.element(mk.EBML, mk.element(mk.DOC_TYPE, b"matroska"))
+    data = head + mk.element(mk.SEGMENT, track(3) + cluster)
+    got = mk.parse(data)
+    assert got.error is None and mk.demux(data, got) == b"ABxAByz" and [p[3] for p in got.packets] == [1, 2]
+    zipped = mk.parse(head + mk.element(mk.SEGMENT, track(0) + cluster))
+    assert "compressed" in zipped.error and zipped.packets == []
+
+
+def test_block_durations_time_laced_frames():
+    raw = mk.vint(1) + struct.pack(">hB", 0, mk.XIPH << 1) + bytes([2, 1, 1]) + b"abc"
+    group = mk.element(mk.BLOCK_GROUP, mk.element(mk.BLOCK, raw) + mk.number(mk.BLOCK_DURATION, 30))
+    got = mk.parse(file_of(mk.element(mk.CLUSTER, mk.number(mk.TIMESTAMP, 5) + group)))
+    assert [p[1] for p in got.packets] == [5_000_000, 15_000_000, 25_000_000]
