@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowloom.llm import chat, decontaminate, languages, licenses, matroska, mixing, simhash, tokens, url_filter, warc
 from flowloom.llm.columns import table
-from flowloom.storage import scratch_path
+from flowloom.storage import materialize, scratch_path
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,11 +53,13 @@ def op7_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    whole = warc.reassemble(warc.read_archives(spark, path), with_payload=False)
-    return whole.select(
+    whole = materialize(warc.reassemble(warc.read_archives(spark, path), with_payload=False), "warc-records")
+    rows = warc.checked_revisits(whole)
+    digest = F.when(F.col("error").isNull(), F.col("payload_digest")).otherwise(F.raise_error(F.concat_ws(": ", "record_id", "error")))
+    return rows.select(
         warc.page_of("record_id").alias("page_id"),
         "payload_bytes",
-        "payload_digest",
+        digest.alias("payload_digest"),
         "record_type",
         warc.page_of("refers_to").alias("refers_to"),
     )

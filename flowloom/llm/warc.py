@@ -5,13 +5,17 @@ that the numbers are complete and the joined length is the stated total, and dec
 Records that fit one segment are decoded where they are read; only segments are shuffled, by origin id, and read
 back as a sorted stream with one open record at a time.
 
-Archives are plain WARC files below a shared folder, gzip-compressed, with a bounded number of records each, so
-that one file is a bounded piece of work.
+Archives are ``.warc.gz`` files below a shared folder, each record a gzip member of its own, with a bounded number of
+records each, so that one file is a bounded piece of work.
+
+A page's record id has its page id and payload digest.  Where several rows have both, and for revisits, which nothing
+refers to, a number of the writing task is added.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm.columns import bound_batches
-from flowloom.operators.joins import split_join
+from flowloom.operators.joins import fresh, split_join
 
 VERSION = b"WARC/1.1\r\n"
 DATE = b"2020-01-01T00:00:00Z"
@@ -88,17 +92,19 @@ def record(fields: list[tuple[str, bytes]], block: bytes) -> bytes:
 
 
 def page_records(page_id: int | None, unique: str, url: str | None, payload: bytes, refers_to: int | None, segment: int) -> Iterator[bytes]:
-    """The records of one page: a response in one or more segments, or a revisit with the response's HTTP head."""
-    name = b"<urn:x-page:%s#%s>" % (str(page_id).encode(), unique.encode())
+    """The records of one page: a response in one or more segments, or a revisit with the response's HTTP head.
+    ``unique`` ends the record's id where page id and digest are not enough."""
+    digest = base32_sha1(payload).encode()
+    name = b"<urn:x-page:%s:%s%s>" % (str(page_id).encode(), digest, f"#{unique}".encode() if unique else b"")
     fields = [("WARC-Record-ID", name), ("WARC-Date", DATE)]
     if url is not None:
         fields.append(("WARC-Target-URI", quote(url, safe="/:?#[]@!$&'()*+,;=%-._~").encode()))
-    fields.append(("WARC-Payload-Digest", b"sha1:" + base32_sha1(payload).encode()))
+    fields.append(("WARC-Payload-Digest", b"sha1:" + digest))
     fields.append(("Content-Type", b"application/http;msgtype=response"))
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if refers_to is not None:
         profile = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        fields += [("WARC-Type", b"revisit"), ("WARC-Profile", profile), ("WARC-Refers-To", b"<urn:x-page:%d>" % refers_to)]
+        fields += [("WARC-Type", b"revisit"), ("WARC-Profile", profile), ("WARC-Refers-To", b"<urn:x-page:%d:%s>" % (refers_to, digest))]
         yield record(fields, head + b"Content-Length: %d\r\n\r\n" % len(payload))
         return
     block = head + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload)
@@ -115,37 +121,58 @@ def page_records(page_id: int | None, unique: str, url: str | None, payload: byt
         yield record(more, block[at : at + segment])
 
 
+def members(data: bytes, most: int = 1 << 23) -> bytes:
+    """The bytes as a gzip member, or as several of ``most`` bytes each, all of which end in a zero byte: the highest
+    one of the member's length."""
+    return b"".join(gzip.compress(data[i : i + most], 6, mtime=0) for i in range(0, len(data), most))
+
+
 def revisit_targets(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``(page_id, url, payload, refers_to)``: of rows with equal payloads of ``min_bytes`` or more, that with the
-    largest page_id is the response and the others refer to it.  Null html is empty; rows tied for the largest id
-    are all responses, and null ids are the smallest."""
+    """``(page_id, url, payload, refers_to, single)``: of rows with equal payloads of ``min_bytes`` or more, that with
+    the largest page_id is the response and the others refer to it.
+
+    Null html is empty; rows tied for the largest id are all responses, and null ids are the smallest.  ``single`` says
+    that no other row has both id and payload of a response.
+    """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
     large = F.length("payload") >= min_bytes
-    last = rows.filter(large).groupBy("digest").agg(F.max("page_id").alias("last"))
-    refers = F.when(large & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
-    return split_join(rows, last, ["digest"], "left").select("page_id", "url", "payload", refers.alias("refers_to"))
+    counted = rows.filter(large).groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    last = counted.groupBy("digest").agg(F.max(F.struct("page_id", "n")).alias("top"))
+    refers = F.when(large & ~F.col("page_id").eqNullSafe(F.col("top.page_id")), F.col("top.page_id"))
+    single = F.coalesce(large & (F.col("top.n") == 1) & F.col("page_id").isNotNull(), F.lit(False))
+    return split_join(rows, last, ["digest"], "left").select("page_id", "url", "payload", refers.alias("refers_to"), single.alias("single"))
 
 
 def write_archives(pages: DataFrame, path: str, segment: int = 16384, records_per_file: int = 2048, min_bytes: int = 0) -> None:
-    """Write a record for every row of ``pages(page_id, url, html)`` as ``.warc`` files in gzip below ``path``.
+    """Write a record for every row of ``pages(page_id, url, html)`` as ``.warc.gz`` files below ``path``.
 
-    Payloads are the html in UTF-8; blocks of more than ``segment`` bytes are segmented.  Other columns are ignored.
+    Payloads are the html in UTF-8; blocks of more than ``segment`` bytes are segmented.  Null html is empty, a null url
+    is left out, null ids are written as ``None``; repeated rows give a record each, an empty table no records.  Other
+    columns are ignored.
     """
-    bound_batches(pages.sparkSession)
+    spark = pages.sparkSession
+    bound_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get().partitionId(), 0
         for batch in batches:
             out = []
-            for page_id, url, payload, refers in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for page_id, url, payload, refers, single in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 n += 1
-                out += [r[:-1] for r in page_records(page_id, f"{task}-{n}", url, payload, refers, segment)]
+                unique = "" if single and refers is None else f"{task}-{n}"
+                out += [members(r)[:-1] for r in page_records(page_id, unique, url, payload, refers, segment)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    # The text writer puts the bytes of a string down as they are; a record's last line feed is its separator.
+    # The text writer puts the bytes of a string down as they are; a member's last byte, zero, is its separator.
     lines = revisit_targets(pages, min_bytes).mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    lines.write.option("compression", "gzip").option("maxRecordsPerFile", str(records_per_file)).text(path)
+    lines.write.option("lineSep", "\0").option("maxRecordsPerFile", str(records_per_file)).text(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for file in store.listStatus(folder):  # the writer has no say in the names of its files
+        name = file.getPath().getName()
+        if name.endswith(".txt"):
+            store.rename(file.getPath(), file.getPath().suffix(".warc.gz"))
 
 
 # --- reading
@@ -166,14 +193,20 @@ def records_of(archive: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
 
 def gunzipped(data: bytes) -> bytes:
     """All gzip members of a file; a file that is not compressed comes back as it is."""
-    parts = []
-    while data[:2] == b"\x1f\x8b":
+    parts, at, view = [], 0, memoryview(data)
+    while data[at : at + 2] == b"\x1f\x8b":
         d = zlib.decompressobj(31)
-        parts.append(d.decompress(data))
-        data = d.unused_data
+        done = at
+        while not d.eof and done < len(data):  # in pieces: what is left unused is copied
+            parts.append(d.decompress(view[done : done + _PIECE]))
+            done += _PIECE
+        at = min(done, len(data)) - len(d.unused_data)
+        if not d.eof:
+            break
     return b"".join(parts) if parts else data
 
 
+_PIECE = 1 << 14
 _RESULT = "record_id string, record_type string, uri string, refers_to string, digest string, payload_bytes long, payload_digest string, payload binary, error string"
 _SEGMENT = "origin string, segment int, total long, fields map<string, string>, block binary"
 
@@ -210,7 +243,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """``(origin, segment, total, fields, block)``: every record of the archives below ``path``.
 
     ``origin`` is the id of the record that a continuation continues, or the record's own; ``segment`` is null for
-    records that are not segmented and ``total`` is the length that a last segment states.
+    records that are not segmented and ``total`` is the length that a last segment states.  Records come out as they
+    are, repeated ones too; a folder without files gives none.  A file that ends within a record gives what there is.
     """
     bound_batches(spark)
 
@@ -240,7 +274,9 @@ def reassemble(records: DataFrame, with_payload: bool = True) -> DataFrame:
 
     Segments of an origin come together in order.  Missing, repeated or unknown segment numbers, a joined length
     other than the stated total, malformed framing and a payload that does not have the stated digest give an
-    ``error`` with what is known of the record.  A revisit has the length and digest that it states, and no payload.
+    ``error`` with what is known of the record.  A revisit has the length and digest that it states, and no payload;
+    ``checked_revisits`` holds them against the response.  Repeated records that are not segmented give a row each, a
+    repeated segment is an error; without records there are no rows.
     """
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,3 +327,18 @@ def reassemble(records: DataFrame, with_payload: bool = True) -> DataFrame:
 def page_of(reference: str):
     """The page id in a record id or a reference as this module writes them; null where there is none."""
     return F.regexp_extract(F.col(reference), r"^<urn:x-page:(-?\d+)", 1).try_cast("long")
+
+
+def checked_revisits(whole: DataFrame) -> DataFrame:
+    """``whole`` (of ``reassemble``, written or cheap to read twice) with an ``error`` for every revisit whose response
+    is not there or has another length or digest than it states.
+
+    A reference is the id of the response; where several responses had one id it is their id without the number.
+    """
+    name = fresh("_name", whole)
+    found = whole.filter("record_type = 'response' AND error IS NULL").select(F.regexp_replace("record_id", "#[^>]*>$", ">").alias(name), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest"))
+    found = found.groupBy(name).agg(F.max(F.struct("_bytes", "_digest")).alias("_found"))
+    rows = split_join(whole.withColumn(name, F.when(F.col("record_type") == "revisit", F.coalesce("refers_to", F.lit("")))), found, [name], "left")
+    same = F.col("_found._bytes").eqNullSafe(F.col("payload_bytes")) & F.col("_found._digest").eqNullSafe(F.col("payload_digest"))
+    wrong = F.when(F.col(name).isNull(), None).when(F.col("_found").isNull(), "the response is missing").when(~same, "the response differs")
+    return rows.withColumn("error", F.coalesce("error", wrong)).select(whole.columns)

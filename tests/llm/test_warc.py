@@ -1,3 +1,7 @@
+import gzip
+import os
+import zlib
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -37,10 +41,27 @@ def slow(pages):
     return out
 
 
+def member_texts(stored):
+    out = []
+    while stored:
+        d = zlib.decompressobj(31)
+        out.append(d.decompress(stored))
+        stored = d.unused_data
+    return out
+
+
 def digests(spark, df, **options):
     path = scratch_path(spark, "warc-test")
     warc.write_archives(df, path, **options)
-    rows = warc.reassemble(warc.read_archives(spark, path))
+    for file in os.listdir(path.removeprefix("file:")):
+        if not file.startswith((".", "_")):
+            assert file.endswith(".warc.gz")
+            with open(path.removeprefix("file:") + "/" + file, "rb") as f:
+                stored = f.read()
+            each = member_texts(stored)
+            assert all(m.startswith(b"WARC/1.1\r\n") and m.endswith(b"\r\n\r\n") and len(list(warc.records_of(m))) == 1 for m in each)
+            assert gzip.decompress(stored) == b"".join(each) == warc.gunzipped(stored)
+    rows = warc.checked_revisits(warc.reassemble(warc.read_archives(spark, path)))
     assert rows.filter("error IS NOT NULL").collect() == []
     return rows
 
@@ -52,6 +73,10 @@ def test_edge_rows(spark, segment):
     rows = digests(spark, df, segment=segment, records_per_file=3)
     got = rows.select(warc.page_of("record_id").alias("p"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("r")).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, slow(pages)))
+    names = [r["record_id"] for r in rows.collect()]
+    assert len(set(names)) == len(names)
+    tied = {f"<urn:x-page:8:{warc.base32_sha1(b'tie')}>"}
+    assert {r["refers_to"] for r in rows.filter("record_type = 'revisit'").collect()} <= set(names) | tied
     payloads = {r["payload"] for r in rows.filter("record_type = 'response'").select("payload").collect()}
     assert {bytes(p) for p in payloads} == {(h or "").encode() for _, _, h in pages}
 
@@ -85,3 +110,24 @@ def test_broken_segments_are_reported(spark):
     got = {(r["record_id"] or "orphan"): r for r in warc.reassemble(df).collect()}
     assert bytes(got.pop("good")["payload"]) == b"hello world"
     assert set(got) == {"gap", "total", "open", "twice", "orphan"} and all(r["error"] and r["payload"] is None for r in got.values())
+
+
+def test_members_end_in_a_zero_byte():
+    for n in (0, 1, 255, 1 << 16, (1 << 23) - 1, (1 << 23) + 5, 3 << 23):
+        data = bytes(n)
+        if n:
+            packed = warc.members(data)
+            assert packed[-1] == 0 and warc.gunzipped(packed) == data == gzip.decompress(packed)
+
+
+def test_cut_files_give_what_there_is():
+    packed = warc.members(b"a" * 1000) + warc.members(bytes(range(256)) * 300)
+    assert warc.gunzipped(packed[:-9])[:1000] == b"a" * 1000 and warc.gunzipped(b"plain") == b"plain" and warc.gunzipped(b"") == b""
+
+
+def test_revisits_are_held_against_their_response(spark):
+    rows = [("<urn:x-page:2:D>", "response", None, 5, "D"), ("<urn:x-page:3:T#0-1>", "response", None, 5, "T"), ("<urn:x-page:3:T#0-2>", "response", None, 5, "T")]
+    rows += [(f"r{i}", "revisit", to, n, d) for i, (to, n, d) in enumerate([("<urn:x-page:2:D>", 5, "D"), ("<urn:x-page:3:T>", 5, "T"), ("<urn:x-page:2:D>", 6, "D"), ("<urn:x-page:2:D>", 5, "E"), ("<urn:x-page:9:D>", 5, "D"), (None, 5, "D")])]
+    df = spark.createDataFrame([(*r, None, "x") for r in rows], "record_id string, record_type string, refers_to string, payload_bytes long, payload_digest string, error string, _name string")
+    got = {r["record_id"]: r["error"] for r in warc.checked_revisits(df).collect()}
+    assert {k for k, e in got.items() if e} == {"r2", "r3", "r4", "r5"} and len(got) == len(rows)
