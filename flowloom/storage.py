@@ -7,6 +7,7 @@ again.  Unlike cached or locally checkpointed blocks such a table survives lost
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of plans that nothing refers to any more.
+
+    Spark removes them when the driver collects its garbage, which with a large heap is long after they pile up.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete this application's intermediate tables; call it when no DataFrame built on them is needed."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
