@@ -1,6 +1,7 @@
 """Merging clusters of accounts by creators, name families and entities.
 
-Clusters are ``(row_id, members)`` with members an array in order and row ids from 1.
+Clusters are ``(row_id, members)`` with members an array in order and row ids from 1, each once.  Everywhere null
+keys match nothing, empty tables give no rows, and columns that are not named are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from flowloom.operators.joins import split_join
 def creator_merge(clusters: DataFrame, creations: DataFrame) -> DataFrame:
     """``(row_id, members)``: each row's members, and after each the targets that it created, in order.
 
-    ``creations`` has ``src``, ``dst`` and ``rank``, which orders the targets of a source.  Repeats stay.
+    ``creations`` has ``src``, ``dst`` and ``rank``, which orders the targets of a source; those of one rank come by
+    ``dst``.  Repeats stay, and so does a null member; rows without members do not come out.
     """
     at = clusters.select("row_id", F.posexplode("members").alias("pos", "member"))
     made = creations.groupBy(F.col("src").alias("member")).agg(F.sort_array(F.collect_list(F.struct("rank", "dst"))).alias("made"))
@@ -43,7 +45,7 @@ def name_families(names: DataFrame, suffix: str = ".bnb") -> DataFrame:
     """``(prefix, row_id, name)``: names that differ in their last digit only.
 
     Without the suffix a name needs more than four characters, a digit at the end, and before it not only digits;
-    a prefix needs at least two last digits.  All rows of such a prefix come out.
+    a prefix needs at least two last digits.  All rows of such a prefix come out, repeated ones too; null names do not.
     """
     bare = F.replace(F.col("name"), F.lit(suffix), F.lit(""))
     rows = names.select("row_id", "name", bare.alias("bare")).filter("length(bare) > 4 AND bare RLIKE '[0-9]$'")
@@ -55,7 +57,8 @@ def name_families(names: DataFrame, suffix: str = ".bnb") -> DataFrame:
 
 def family_merge(clusters: DataFrame, families: DataFrame) -> DataFrame:
     """``(row_id, members)``: the rows of a family become one, at the smallest of their ids; a row in two families
-    joins both.  Members keep their first place; other rows stay as they are."""
+    joins both.  Members keep their first place; other rows stay as they are, also those without members.  Row ids that
+    are in no cluster unite the others of their family nevertheless."""
     rows = families.select("prefix", "row_id").distinct()
     low = rows.groupBy("prefix").agg(F.min("row_id").alias("low"))
     linked = connected_components(split_join(rows, low, ["prefix"]), "row_id", "low")
@@ -81,7 +84,7 @@ def _united(clusters: DataFrame, linked: DataFrame) -> DataFrame:
 
 
 def drop_singletons(clusters: DataFrame) -> DataFrame:
-    """Clusters of two or more members."""
+    """Clusters of two or more members, repeats counted; null members are none."""
     return clusters.filter("size(members) >= 2")
 
 
@@ -95,7 +98,7 @@ def label_lookup(addresses: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def normalised_names(labels: DataFrame) -> DataFrame:
-    """``(address, name, entity)`` with the entity taken from the name."""
+    """``(address, name, entity)`` of every row, with the entity taken from the name; null of a null name."""
     return labels.select("address", "name", entity_name(F.col("name")).alias("entity"))
 
 
@@ -107,7 +110,8 @@ def entity_addresses(entities: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def majority_choice(votes: DataFrame) -> DataFrame:
-    """``(question, choice, n)``: the most frequent choice of each question; ties go to the smaller choice."""
+    """``(question, choice, n)``: the most frequent choice of each question; ties go to the smaller choice, null being
+    the smallest.  Null is a question like others."""
     counted = votes.groupBy("question", "choice").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("question").orderBy(F.desc("n"), "choice")
     return counted.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")

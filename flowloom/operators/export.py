@@ -28,7 +28,9 @@ def layered_neighbourhood(transfers: DataFrame, seeds: DataFrame, clusters: Data
 
     ``seeds`` has ``id`` and the first in order of ``rank`` is the source; ``clusters`` has ``id``.  ``first`` and
     ``second`` limit the hops.  ``dedup`` counts distinct neighbours instead of edges.  Each hop is one pass over
-    the edges of the nodes that the hop before kept, which are few.
+    the edges of the nodes that the hop before kept, which are few.  Edges with a null end are left out, repeated ones
+    count; a repeated seed has its smallest rank, of seeds of one rank the one with the smaller id is the source, and a
+    null seed is a node without edges.  Without seeds there are no nodes and no edges.
     """
     edges = transfers.filter("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst")
     seed = seeds.groupBy("id").agg(F.min("rank").alias("rank"))

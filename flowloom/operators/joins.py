@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 
 def split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """An equi-join on ``keys`` that a frequent key does not hold up.
+    """An equi-join on ``keys`` that a frequent key does not hold up; null keys match nothing.
 
     Where a side was just aggregated by the keys, Spark joins where the aggregation ran, and all rows of a key stay in
     one task.  Another key, made of the first, gives both sides a shuffle for the join alone, and adaptive execution

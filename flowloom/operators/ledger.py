@@ -29,7 +29,10 @@ def sliced(half: DataFrame, slice_blocks: int) -> DataFrame:
 
 
 def _inflows(half: DataFrame) -> DataFrame:
-    """``(channel, node, block, s, mx, senders)``: what is due at each outgoing block."""
+    """``(channel, node, block, s, mx, senders)``: what is due at each outgoing block.
+
+    The senders of a window are its result, one array; sums and maxima are aggregated before the shuffle.
+    """
     out_block = F.when(F.col("dir") == "O", F.col("block"))
     per_slice = half.groupBy(*SLICE).agg(F.min(out_block).alias("first_out"))
     before = Window.partitionBy("channel", "node").orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)

@@ -1,4 +1,7 @@
-"""Readers of text, CSV and JSON inputs."""
+"""Readers of text, CSV and JSON inputs.
+
+Empty files and folders without files give no rows; what a reader cannot read as its format is left out, as stated.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +15,7 @@ USER_MARK, MODEL_MARK = "You: ", "Ollama: "
 
 
 def address_list(spark: SparkSession, path: str) -> DataFrame:
-    """``(id)``: one address per line, trimmed; blank lines are skipped."""
+    """``(id)``: one address per line, trimmed; blank lines are skipped, repeated ones stay."""
     return spark.read.text(path).select(F.trim("value").alias("id")).filter("id <> ''")
 
 
@@ -38,7 +41,8 @@ def _numbered(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cluster_rows(spark: SparkSession, path: str) -> DataFrame:
-    """``(row_id, members)``: comma-joined rows of unequal width; blank rows are skipped but keep their number."""
+    """``(row_id, members)``: comma-joined rows of unequal width; blank rows are skipped but keep their number.
+    Empty members between commas stay, as empty text; files of a folder are numbered each from 1."""
     rows = _numbered(spark, path).filter("trim(value) <> ''")
     return rows.select("row_id", F.transform(F.split("value", ","), lambda x: F.trim(x)).alias("members"))
 
@@ -85,7 +89,7 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def extracted_addresses(cells: DataFrame) -> DataFrame:
     """``(address, position)``: every 40-digit hexadecimal word of ``cells(position, cell)`` in lower case, at its
-    first position."""
+    first position.  Null cells have none."""
     rows = cells.select("position", F.explode(addresses(F.col("cell"))).alias("address"))
     return rows.groupBy("address").agg(F.min("position").alias("position"))
 
@@ -94,7 +98,9 @@ def chat_turns(lines: DataFrame, user: str = USER_MARK, model: str = MODEL_MARK,
     """``(log, turn, role, text)`` from ``lines(log, line_no, line)`` of marked multi-line records.
 
     A marked line opens a turn and the lines up to the next mark belong to it.  A user turn counts if a model turn
-    follows it directly; lines before the first mark belong to none.
+    follows it directly; lines before the first mark belong to none.  Null lines are empty ones without a mark, lines
+    of one number come by their text, and a null log is a log.  A log is put in order by one task, as a turn goes on
+    until the next mark.
     """
     role = F.when(F.col("line").startswith(user), "user").when(F.col("line").startswith(model), "assistant")
     text = F.when(F.col("line").startswith(user), F.substring("line", len(user) + 1, 1 << 30)).when(F.col("line").startswith(model), F.substring("line", len(model) + 1, 1 << 30)).otherwise(F.col("line"))

@@ -1,4 +1,7 @@
-"""Writers; each writes a folder of part files in parallel."""
+"""Writers; each writes a folder of part files in parallel.
+
+Empty tables give folders without rows.  Repeated rows are written again; null values are empty lines unless stated.
+"""
 
 from __future__ import annotations
 
