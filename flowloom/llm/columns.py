@@ -16,7 +16,10 @@ BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Limit Arrow batches by rows and bytes, so that long texts do not multiply in a worker's memory."""
+    """Limit Arrow batches by rows and bytes, so that long texts do not multiply in a worker's memory.
+
+    Spark reads these settings when a plan runs, not when it is made, so they stay set for the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
