@@ -129,17 +129,21 @@ class Model:
         """The chosen languages with their proportions, largest first."""
         return self.explained(text, penalty)[0]
 
-    def explained(self, text: bytes, penalty: float = 6.0) -> tuple[list[tuple[str, float]], float]:
-        """The chosen languages, and by how much their mixture makes an n-gram likelier than noise does, on average:
-        noise has all cells equally often."""
+    def explained(self, text: bytes, penalty: float = 6.0, least: float = 1 / 3) -> tuple[list[tuple[str, float]], bool]:
+        """The chosen languages, and whether they explain ``least`` of the text if the rest may be noise.
+
+        Noise has all cells equally often.  The likelihood of so much language and the rest noise is concave in the
+        share, so the best share is ``least`` or more where it does not fall there.
+        """
         counts = ngram_counts(text)
         cells = np.flatnonzero(counts)
         if not len(cells) or not self.names:
-            return [], 0.0
-        c = counts[cells].astype(np.float64)
-        chosen, share, likely = self._chosen(c, self.prob[cells], c @ self.log[cells], penalty)
+            return [], False
+        c, prob = counts[cells].astype(np.float64), self.prob[cells]
+        chosen, share, _ = self._chosen(c, prob, c @ self.log[cells], penalty)
         found = sorted(((self.names[j], float(s)) for j, s in zip(chosen, share, strict=True)), key=lambda x: (-x[1], x[0]))
-        return found, likely / float(c.sum()) + math.log(CELLS)
+        ratio = prob[:, chosen] @ share * CELLS
+        return found, bool(c @ ((ratio - 1) / (least * ratio + 1 - least)) >= 0)
 
 
 def train(labelled: DataFrame, text: str = "text", label: str = "lang") -> Model:
@@ -200,8 +204,8 @@ def keep_identified(docs: DataFrame, model: Model, min_share: float = 1 / 3, pen
     """The rows of ``docs``, all columns, whose text has a language with at least ``min_share`` of the mixture.
 
     Rows that ``identify`` calls ``und`` go, and so do mixtures of so many languages that none has that share, and
-    texts that the mixture explains no better than noise does: languages that were not learned, strings of random
-    letters.  Repeated rows are judged alike; an empty table gives none, and so does a model without languages.  The
+    texts of which less than that share is language at all and the rest noise: languages that were not learned,
+    strings of random letters.  Repeated rows are judged alike; an empty table gives none, and so does a model without languages.  The
     decision is made where the text is read, so nothing is shuffled.
     """
     bound_batches(docs.sparkSession)
@@ -211,8 +215,8 @@ def keep_identified(docs: DataFrame, model: Model, min_share: float = 1 / 3, pen
         for batch in batches:
             keep = []
             for text in batch.column(place).to_pylist():
-                found, over_noise = shared().explained(text.encode(), penalty) if _letters(text) else ([], 0.0)
-                keep.append(bool(found) and found[0][1] >= min_share and over_noise > 0)
+                found, enough = shared().explained(text.encode(), penalty, min_share) if _letters(text) else ([], False)
+                keep.append(enough and found[0][1] >= min_share)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -155,14 +155,17 @@ def judge_urls(
     The longest rule that fits decides (host characters count as well as path characters).  Where a key is in
     both lists it blocks.  Without a fitting rule, ``rule`` is null and the cascades have found no listed key, so
     the verdict is ``allow``.  Null urls and urls without ``://`` have empty host and path and fit no rule.  Every
-    row gets a row, repeated ones too; empty tables and empty lists are fine; other columns are ignored.
+    row gets a row, repeated ones too; empty tables and empty lists are fine; other columns are ignored.  ``keep`` cannot
+    name a column like one of the results.
     """
+    if clash := {"host", "path", "rule", "verdict"} & {k.lower() for k in keep}:
+        raise ValueError(f"cannot keep columns named like results: {sorted(clash)}")
     host, path = split_url(F.col(url))
-    urls = pages.select(*keep, host.alias("host"), path.alias("path"))
+    urls = pages.select(F.struct(*keep).alias("_kept"), host.alias("host"), path.alias("path"))
     blocked, allowed = _keys(pages.sparkSession, block), _keys(pages.sparkSession, allow)
     shapes = rule_shapes(blocked.union(allowed))
     if not shapes:
-        return urls.select(*keep, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
+        return urls.select("_kept.*", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
     asked = urls.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), shapes))
     universe = asked.select(F.explode("_keys").alias("key"))
     hits = []
@@ -180,7 +183,7 @@ def judge_urls(
             if segments > 1:
                 asked = materialize(asked, "url-pass")
     best = F.array_max(F.concat(*hits)) if hits else F.lit(None)
-    return asked.withColumn("_best", best).select(*keep, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit("allow")).alias("verdict"))
+    return asked.withColumn("_best", best).select("_kept.*", "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit("allow")).alias("verdict"))
 
 
 def _with_length(keys: Column, verdict: Column) -> Column:
