@@ -358,11 +358,14 @@ def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
     ``text_key`` makes them.  Where an id stands on several rows, the row is told by its text: of the group's texts
     with that id the one with the smallest key, and of its rows the first by all columns.  In groups without any id
     one row stays in the same way; an empty table gives none.  Only rows whose id is null or repeated are hashed again.
+    Rows are dropped by the ids that go, which are fewer than those that stay, so that Spark can take them to the texts
+    rather than shuffle the texts.
     """
-    ids = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("low"))
-    ids = materialize(ids.filter("low").select("doc_id", "n"), "keep-ids")
-    kept = docs.join(ids.filter("n = 1"), "doc_id", "left_semi").select(docs.columns)
-    unsure = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).join(ids.filter("n > 1"), "doc_id", "left_semi").union(groups.filter("doc_id IS NULL AND component_id IS NULL"))
+    ids = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).alias("low"))
+    ids = materialize(ids.filter("n > 1 OR NOT low"), "keep-ids")
+    kept = docs.filter("doc_id IS NOT NULL").join(ids, "doc_id", "left_anti").select(docs.columns)
+    several = ids.filter("n > 1 AND low").select("doc_id")
+    unsure = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).join(several, "doc_id", "left_semi").union(groups.filter("doc_id IS NULL AND component_id IS NULL"))
     if not unsure.head(1):
         return kept
     name = fresh("key", docs)
@@ -373,7 +376,7 @@ def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
         keys = [text_key(t) for t in utf8(batch.column(place))]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.string())], [*batch.schema.names, name])
 
-    candidates = docs.join(ids.filter("n > 1"), "doc_id", "left_semi").select(docs.columns).union(docs.filter("doc_id IS NULL"))
+    candidates = docs.join(several, "doc_id", "left_semi").select(docs.columns).union(docs.filter("doc_id IS NULL"))
     keyed = map_batches(candidates, run, schema)
     same = keyed["doc_id"].eqNullSafe(chosen["_id"]) & (keyed[name] == chosen[name])
     rows = keyed.join(chosen, same, "left_semi")
