@@ -28,6 +28,15 @@ def sliced(half: DataFrame, slice_blocks: int) -> DataFrame:
     return half.withColumn("slice", F.floor(F.col("block") / slice_blocks))
 
 
+def dealt(half: DataFrame) -> DataFrame:
+    """Sliced half-edges in one shuffle by slice, which all that need the same columns can read.
+
+    Rows without a slice fit nowhere.  They go here, as else Spark drops them on some sides of a join only, and what
+    is shuffled is no longer the same.
+    """
+    return half.filter("channel IS NOT NULL AND node IS NOT NULL AND slice IS NOT NULL").repartition(*SLICE)
+
+
 def _inflows(half: DataFrame) -> DataFrame:
     """``(channel, node, block, s, mx, senders)``: what is due at each outgoing block.
 
@@ -44,6 +53,43 @@ def _inflows(half: DataFrame) -> DataFrame:
     return rows.groupBy("channel", "node", F.col("due").alias("block")).agg(F.sum("value").alias("s"), F.max("value").alias("mx"), F.array_sort(F.collect_set("other")).alias("senders"))
 
 
+def first_outflows(half: DataFrame, slice_blocks: int = SLICE_BLOCKS) -> DataFrame:
+    """``(channel, node, block, s_in, mx, senders, out_value)``: the rows of ``ledger`` whose window is not empty, without
+    balances.
+
+    The half-edges are shuffled once, by slice: an inflow that is due in its own slice is aggregated where it lies, and
+    what is left of a slice goes on as one row to the first outgoing block later on.
+    """
+    out, into = F.col("dir") == "O", F.col("dir") == "I"
+    rows = sliced(half, slice_blocks).select(*SLICE, "dir", "block", "value", F.when(into, F.col("other")).alias("sender"), F.when(out, F.col("tie")).alias("tie"))
+    after = Window.partitionBy(*SLICE).orderBy((-F.col("block")).alias("back")).rangeBetween(Window.unboundedPreceding, -1)
+    out_block = F.when(out, F.col("block"))
+    rows = dealt(rows).withColumn("due", F.coalesce(out_block, F.min(out_block).over(after)))
+    inflow = F.when(into, F.col("value"))
+    dues = rows.groupBy(*SLICE, "due").agg(
+        F.sum(inflow).alias("s"), F.max(inflow).alias("mx"), F.collect_set("sender").alias("senders"), F.min_by(F.when(out, F.col("value")), "tie").alias("out_value")
+    )
+    left = F.when(F.col("due").isNull(), F.struct("s", "mx", "senders"))
+    before = Window.partitionBy("channel", "node").orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    per_slice = dues.groupBy(*SLICE).agg(F.min(F.when(F.col("out_value").isNotNull(), F.col("due"))).alias("first_out"), F.first(left, ignorenulls=True).alias("left"))
+    later = per_slice.withColumn("later", F.min("first_out").over(before)).filter("left IS NOT NULL AND later IS NOT NULL")
+    carried = later.groupBy("channel", "node", "later").agg(F.sum("left.s").alias("s0"), F.max("left.mx").alias("mx0"), F.flatten(F.collect_list("left.senders")).alias("senders0"))
+    carried = carried.withColumn("slice", F.floor(F.col("later") / slice_blocks))
+    # As two comparisons the block is no join key, so the rows stay where they are.
+    here, there = dues.filter("due IS NOT NULL").alias("h"), carried.alias("c")
+    met = F.expr("h.channel = c.channel AND h.node = c.node AND h.slice = c.slice AND h.due >= c.later AND h.due <= c.later")
+    none, senders = F.array().cast("array<string>"), F.col("h.senders")
+    return here.join(there, met, "left").filter("h.s IS NOT NULL OR c.s0 IS NOT NULL").select(
+        "h.channel",
+        "h.node",
+        F.col("h.due").alias("block"),
+        (F.coalesce("h.s", F.lit(0)) + F.coalesce("c.s0", F.lit(0))).cast(_EXACT).alias("s_in"),
+        F.greatest("h.mx", "c.mx0").alias("mx"),
+        F.array_sort(F.array_union(senders, F.coalesce("c.senders0", none))).alias("senders"),
+        "h.out_value",
+    )
+
+
 def ledger(half: DataFrame, slice_blocks: int = SLICE_BLOCKS) -> DataFrame:
     """``(channel, node, block, out_rn, s_in, mx, senders, out_value, bal_before, bal)`` per outgoing edge.
 

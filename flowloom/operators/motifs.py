@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from flowloom.functions.rules import covers_outflow, joined, relays
 from flowloom.operators.components import connected_components
 from flowloom.operators.joins import split_join
-from flowloom.operators.ledger import ORDER, SLICE, SLICE_BLOCKS, sliced
+from flowloom.operators.ledger import ORDER, SLICE, SLICE_BLOCKS, dealt, first_outflows, sliced
 from flowloom.operators.ledger import ledger as make_ledger
 from flowloom.operators.model import NATIVE, half_edges, with_channel
+from flowloom.storage import materialize, release
 
 
 def _groups(rows: DataFrame, members: Column) -> DataFrame:
@@ -49,9 +50,10 @@ def relay_pairs(half: DataFrame, rule: str = "ratio", slice_blocks: int = SLICE_
     """``(channel, mid, src, dst, vin, vout)``: an incoming edge directly followed by an outgoing one of about the
     same value (``ratio``) or exactly the same (``equal``).
 
-    Neighbours are found within time slices; the last edge of a slice is followed by the first of the node's next.
+    Neighbours are found within time slices; the last edge of a slice is followed by the first of the node's next.  Both
+    are read from one shuffle.
     """
-    half = sliced(half, slice_blocks)
+    half = dealt(sliced(half, slice_blocks))
     step = F.struct("dir", "other", "value")
     rows = half.withColumn("n", F.lead(step).over(Window.partitionBy(*SLICE).orderBy(*ORDER)))
     first = half.groupBy(*SLICE).agg(F.min_by(step, F.struct(*ORDER)).alias("f"))
@@ -141,6 +143,21 @@ def union_groups(*groups: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, groups).distinct()
 
 
+def loose_union(half: DataFrame, slice_blocks: int = SLICE_BLOCKS) -> DataFrame:
+    """The union of ``codeposit_groups`` and ``parallel_relay_groups`` without ``strict``, ``deposit_side_groups`` and
+    ``relay_recipient_groups``.
+
+    Balances are never negative and only make the rule harder, so every deposit-side group is also a co-deposit group
+    with the node that is paid, and the ledger is not replayed for it.  The motifs are found one after the other, and
+    the shuffle files of one are gone before the next.
+    """
+    paid = materialize(codeposit_groups(first_outflows(half, slice_blocks), strict=False), "union-codeposit")
+    release(half.sparkSession)
+    pairs = materialize(relay_pairs(half, slice_blocks=slice_blocks).select("channel", "src", "dst", "mid").distinct(), "union-relays")
+    release(half.sparkSession)
+    return union_groups(paid, parallel_relay_groups(pairs, strict=False), relay_recipient_groups(pairs))
+
+
 def of_anchor(groups: DataFrame, anchors: DataFrame) -> DataFrame:
     """``(anchor, channel, members)``: the groups that have an anchor as a member; ``anchors`` has ``id``."""
     rows = groups.withColumn("anchor", F.explode(F.split("members", ",")))

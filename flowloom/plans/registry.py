@@ -165,13 +165,7 @@ def motif_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def motif_union_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, pairs = _ledger(spark, sf_dir), _relays(spark, sf_dir)
-    return motifs.union_groups(
-        motifs.codeposit_groups(rows, strict=False),
-        motifs.deposit_side_groups(rows),
-        motifs.parallel_relay_groups(pairs, strict=False),
-        motifs.relay_recipient_groups(pairs),
-    )
+    return motifs.loose_union(_half(spark, sf_dir), SLICE_DAYS)
 
 
 def anchor_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ import random
 import pytest
 
 from flowloom.operators import model, motifs
-from flowloom.operators.ledger import ledger
+from flowloom.operators.ledger import first_outflows, ledger
+from flowloom.plans import registry
 
 SCHEMA = "src string, dst string, block_number long, value decimal(38,0), behaviour string, asset string, tie long"
 
@@ -307,3 +308,52 @@ def test_nulls_and_empty_graph(spark):
         half = model.half_edges(df)
         assert ledger(half).collect() == [] and motifs.relay_pairs(half).collect() == []
         assert motifs.group_clusters(motifs.parallel_relay_groups(motifs.relay_pairs(half))).collect() == []
+
+
+# --- shuffles
+
+
+def shuffled(spark, make):
+    """The rows that each stage of a query shuffles."""
+    store, bus = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    gateway = spark.sparkContext._gateway
+
+    def written():
+        bus.waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    old = written()
+    make().collect()
+    return [n for k, n in written().items() if k not in old]
+
+
+@pytest.mark.parametrize("name", ["motif_union_loose"])
+def test_half_edges_are_shuffled_once_a_motif(spark, name):
+    sf = "/root/testdata/sf0.001"
+    n = registry._half(spark, sf).count()
+    rows = shuffled(spark, lambda: registry.QUERIES[name](spark, sf))
+    assert sum(x >= 0.45 * n for x in rows) <= 2
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_first_outflows_are_the_rows_of_the_ledger(spark, seed):
+    rng = random.Random(seed)
+    edges = [(f"n{rng.randrange(5)}", f"n{rng.randrange(5)}", rng.randrange(30), rng.choice([0, 1, 9, 10, 100]), *rng.choice([("ET", "t0"), ("TT", "t1")])) for _ in range(150)]
+    half = model.half_edges(graph(spark, edges))
+    columns = ["channel", "node", "s_in", "mx", "senders", "out_value"]
+    want = sorted(map(str, ledger(half, 4).filter("mx IS NOT NULL").select(columns).collect()))
+    for slice_blocks in (1, 4, 7, 100):
+        assert sorted(map(str, first_outflows(half, slice_blocks).select(columns).collect())) == want
+    assert want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_loose_union(spark, seed):
+    rng = random.Random(10 + seed)
+    edges = [(f"n{rng.randrange(6)}", f"n{rng.randrange(6)}", rng.randrange(25), rng.choice([0, 9, 10, 100]), *rng.choice([("ET", "t0"), ("TT", "t1")])) for _ in range(150)]
+    found = loop_groups(edges)
+    assert found["deposit"] and found["deposit"] < found["sg1_loose"]
+    want = set().union(*(found[k] for k in ("sg1_loose", "deposit", "sg2_loose", "recipient")))
+    got = motifs.loose_union(model.half_edges(graph(spark, edges)), 5)
+    assert members(got) == want and got.count() == len(want)
