@@ -244,10 +244,17 @@ def _clusters(links: DataFrame) -> DataFrame:
 
 def motif_clusters(ledger: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(member, component)``: the clusters of co-deposit and parallel relay groups, as ``group_clusters`` of their
-    union has them, from stars instead of groups: no pairs of relaying nodes are made."""
+    union has them, from stars instead of groups: no pairs of relaying nodes are made.
+
+    ``ledger`` may be ``first_outflows``.  Each motif's links are written, and its shuffle files gone before the next.
+    """
+    spark = pairs.sparkSession
     hit = ledger.filter(covers_outflow(F.col("mx"), F.col("s_in"), F.col("out_value"))).filter("size(senders) >= 2")
     senders = hit.select(F.explode("senders").alias("m"), F.array_min("senders").alias("c"))
-    relayed = parallel_relay_links(pairs).select(F.col("b").alias("m"), F.col("a").alias("c"))
+    senders = materialize(senders.distinct(), "clusters-codeposit")
+    release(spark)
+    relayed = materialize(parallel_relay_links(pairs).select(F.col("b").alias("m"), F.col("a").alias("c")), "clusters-relays")
+    release(spark)
     return _clusters(senders.union(relayed))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.operators import clusters, export, metrics, model, motifs
-from flowloom.operators.ledger import ledger
+from flowloom.operators.ledger import first_outflows, ledger
 from flowloom.sources import readers, writers
 from flowloom.storage import scratch_path
 
@@ -195,7 +195,7 @@ def cluster_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def motif_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = model.half_edges(transfers(spark, sf_dir, parts=1))
-    return motifs.motif_clusters(ledger(half, SLICE_DAYS), motifs.relay_pairs(half, slice_blocks=SLICE_DAYS))
+    return motifs.motif_clusters(first_outflows(half, SLICE_DAYS), motifs.relay_pairs(half, slice_blocks=SLICE_DAYS))
 
 
 def _export(spark: SparkSession, sf_dir: str, dedup: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -328,7 +328,7 @@ def shuffled(spark, make):
     return [n for k, n in written().items() if k not in old]
 
 
-@pytest.mark.parametrize("name", ["motif_union_loose"])
+@pytest.mark.parametrize("name", ["motif_union_loose", "motif_clusters"])
 def test_half_edges_are_shuffled_once_a_motif(spark, name):
     sf = "/root/testdata/sf0.001"
     n = registry._half(spark, sf).count()
