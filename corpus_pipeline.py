@@ -28,7 +28,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Texts without words are one group.  Of repeated rows one stays; where an id stands on several texts of a group, the
     text with the smallest key.  A null id is never the smallest; a group of null ids keeps one row.  Candidates come
-    from MinHash, as 64 bits of SimHash miss most copies that differ in more than a few words.
+    from SimHash by the generalised pigeonhole principle, as in ``op2_simhash_neardup``, and from MinHash, as 64 bits
+    miss most copies that differ in more than a few words; the shingles of both texts decide.
     """
     return simhash.keep_one(docs, materialize(jaccard.jaccard_groups(docs), "pipeline-groups"))
 

@@ -1,6 +1,8 @@
-"""Near-duplicates by the exact Jaccard similarity of sets of word shingles.
+"""Near-duplicates by SimHash and MinHash, every link decided by the exact Jaccard similarity of sets of word shingles.
 
-Texts that have a similar one come from MinHash: of ``BANDS * ROWS`` hash functions each band joins ``ROWS`` minima
+Texts whose SimHash fingerprints are within ``TAU`` bits come from the generalised pigeonhole principle, by the
+fingerprints and the operator of ``simhash``.  64 bits miss most copies that differ in more than a few words, so texts
+also come from MinHash, and neither stands in for the other: of ``BANDS * ROWS`` hash functions each band joins ``ROWS`` minima
 into one value, and texts with a value in common meet in its bucket.  Sets of similarity s share a band with chance
 1 - (1 - s^ROWS)^BANDS whatever their size: 0.99993 at 0.8.  Every link is decided by the distinct shingles of both
 texts, as 64-bit hashes.
@@ -25,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.llm.columns import bound_batches, map_batches, share, utf8
-from flowloom.llm.simhash import _label, _shingles
+from flowloom.llm.simhash import _label, _shingles, fingerprint, near_links
 from flowloom.operators.components import connected_components
 from flowloom.operators.joins import split_join
 from flowloom.storage import materialize, release
 
 BANDS, ROWS = 24, 5
+#: Bits by which fingerprints of texts that are compared differ at most.
+TAU = 3
 #: Another text of each bucket is compared with all others while that links a text in so many that are undecided.
 JOINED_SHARE = 8
 #: Cells in which shingles are counted for their order.
@@ -56,15 +60,16 @@ def bands(hashes: np.ndarray, factors: np.ndarray, chunk: int = 1024) -> list[in
 
 
 def band_values(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``(doc_id, k0, k1, size, b0..)``: a 128-bit key of the text's words, the size of its shingle set, its bands."""
+    """``(doc_id, k0, k1, size, fp, b0..)``: a 128-bit key of the text's words, the size of its shingle set, its SimHash
+    fingerprint, its bands."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     factors = np.random.default_rng(1).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    names = ["k0", "k1", "size", *_BAND_COLUMNS]
+    names = ["k0", "k1", "size", "fp", *_BAND_COLUMNS]
 
     def numbers(text: bytes) -> list[int]:
         words = text.lower().split()
         key, hashes = xxhash.xxh3_128_intdigest(b" ".join(words)), shingle_set(words, width)
-        return [key >> 64, key & (1 << 64) - 1, len(hashes), *bands(hashes, factors)]
+        return [key >> 64, key & (1 << 64) - 1, len(hashes), fingerprint(text), *bands(hashes, factors)]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         columns = np.array([numbers(t) for t in utf8(batch.column(1))], np.uint64).view(np.int64).T
@@ -73,6 +78,21 @@ def band_values(docs: DataFrame, width: int = 5) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in names))
 
 
+def simhash_pairs(unique: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b, label_a, label_b)``: of ``unique(row, size, fp)`` the texts whose fingerprints link, of fitting size.
+
+    Texts of one fingerprint meet the first of them, and linked fingerprints by their first texts.
+    """
+    rows = unique.filter("size > 0").select("fp", "row", "size")
+    first = materialize(rows.groupBy("fp").agg(F.min(F.struct("row", "size")).alias("c"), F.count(F.lit(1)).alias("n")).select("fp", F.col("c.row").alias("a"), F.col("c.size").alias("size_a"), "n"), "jaccard-fp")
+    same = split_join(rows, first.filter("n > 1").select("fp", "a", "size_a"), ["fp"]).filter("row <> a").select("a", "size_a", F.col("row").alias("b"), F.col("size").alias("size_b"))
+    left, right = (first.select(F.col("fp").alias(f"fp_{end}"), F.col("a").alias(end), F.col("size_a").alias(f"size_{end}")) for end in "ab")
+    links = near_links(first.select("fp"), TAU).distinct().toDF("fp_a", "fp_b")
+    linked = links.join(left, "fp_a").join(right, "fp_b").select("a", "size_a", "b", "size_b")
+    alike = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9
+    return same.union(linked).filter(alike).select("a", "b", F.col("a").alias("label_a"), F.col("b").alias("label_b"))
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """``(row, hashes)`` of the texts in ``wanted (k0, k1, row)``, by a second pass over the texts."""
     slot = F.col("k0").bitwiseAND(FILTER_BITS - 1)
@@ -188,7 +208,9 @@ def _components(unique: DataFrame, docs: DataFrame, similarity: float, width: in
     rows = unique.filter("size > 0").select("row", F.col("size").cast("int").alias("size"), F.explode(F.array(*_BAND_COLUMNS)).alias("val"))
     shared = rows.groupBy("val").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("val")
     met = materialize(split_join(rows, shared, ["val"]), "jaccard-buckets")
-    wanted = materialize(unique.select("k0", "k1", "row").join(met.select("row").distinct(), "row", "left_semi"), "jaccard-wanted")
+    near = materialize(simhash_pairs(unique, similarity), "jaccard-simhash")
+    ends = met.select("row").union(near.select("a")).union(near.select("b")).distinct()
+    wanted = materialize(unique.select("k0", "k1", "row").join(ends, "row", "left_semi"), "jaccard-wanted")
     sets = materialize(_sets_of(docs, wanted, width), "jaccard-sets")
     release(docs.sparkSession)
     undecided, labels, turn = met.select("val", "row", "size", F.col("row").alias("label")), wanted.select("row", F.col("row").alias("label")), 0
@@ -196,7 +218,8 @@ def _components(unique: DataFrame, docs: DataFrame, similarity: float, width: in
         here = F.struct("row", "label", "size")
         centre = undecided.groupBy("val").agg(F.min_by(here, F.xxhash64("row", F.lit(turn))).alias("c")).select("val", F.col("c.row").alias("a"), F.col("c.label").alias("label_a"), F.col("c.size").alias("size_a"))
         alike = F.least("size", "size_a") >= similarity * F.greatest("size", "size_a") - 1e-9
-        pairs = split_join(undecided, centre, ["val"]).filter("label <> label_a").filter(alike).select("a", F.col("row").alias("b"), "label_a", F.col("label").alias("label_b")).distinct()
+        pairs = split_join(undecided, centre, ["val"]).filter("label <> label_a").filter(alike).select("a", F.col("row").alias("b"), "label_a", F.col("label").alias("label_b"))
+        pairs = (pairs if turn else near.union(pairs)).distinct()
         links = _verified(pairs, sets, similarity)
         labels = _relabelled(labels, links)
         labelled = undecided.drop("label").join(labels, "row")
@@ -227,7 +250,7 @@ def jaccard_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5) ->
     bound_batches(docs.sparkSession)
     key = F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("k0", "k1")]).alias("key")
     made = materialize(band_values(docs, width).withColumn("row", F.monotonically_increasing_id()), "jaccard-bands")
-    unique = made.groupBy("k0", "k1", "size", *_BAND_COLUMNS).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("row").alias("row"))
+    unique = made.groupBy("k0", "k1", "size", "fp", *_BAND_COLUMNS).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("row").alias("row"))
     unique = materialize(unique, "jaccard-unique")
     names = unique.select("row", key, "rep", "n")
     linked = _components(unique, docs, similarity, width).join(names.select("row", "key"), F.col("node") == F.col("row")).select(F.col("key").alias("node"), "component")

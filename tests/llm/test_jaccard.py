@@ -5,7 +5,8 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from flowloom.llm import jaccard
+from flowloom.llm import jaccard, simhash
+from pyspark.sql import functions as F
 
 
 def words_of(text):
@@ -114,3 +115,33 @@ def test_recall_by_true_similarity(docs_of):
         edited = text[int(rng.integers(0, max(n // 10, 1) + 1)) :] + rng.choice(words, int(rng.integers(0, max(n // 10, 1) + 1))).tolist()
         docs += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(edited))]
     same(jaccard.jaccard_groups(docs_of(docs)).collect(), docs)
+
+
+def edited_copies(n):
+    """Long texts, each with a copy of which a word in the middle is another, and one of which a third is."""
+    rng = np.random.default_rng(9)
+    words, docs = [f"w{i}" for i in range(20000)], []
+    for i in range(n):
+        text = rng.choice(words, 900).tolist()
+        docs += [(3 * i, " ".join(text)), (3 * i + 1, " ".join([*text[:450], "x", *text[451:]])), (3 * i + 2, " ".join(text[:600] + rng.choice(words, 300).tolist()))]
+    return docs
+
+
+def test_simhash_finds_copies_without_minhash(spark, sf, docs_of, monkeypatch):
+    """The stage with bands that no two texts share: what is left are the links of fingerprints, decided by the sets."""
+    docs, made = edited_copies(30), jaccard.band_values
+    apart = {f"b{i}": F.xxhash64("k0", "k1", F.lit(i)) for i in range(jaccard.BANDS)}
+    monkeypatch.setattr(jaccard, "band_values", lambda *a: made(*a).withColumns(apart))
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs_of(docs), sf).collect()}
+    close = {d + 1 for d, t in docs[::3] if (simhash.fingerprint(t.encode()) ^ simhash.fingerprint(docs[d + 1][1].encode())).bit_count() <= jaccard.TAU}
+    assert kept == {d for d, _ in docs} - close and len(close) >= 10
+
+
+def test_links_of_fingerprints_are_decided_by_the_sets(docs_of):
+    """One line repeated outweighs what else the texts have: equal fingerprints, sets that share next to nothing."""
+    docs = [(i, "a b c d e f g " * 300 + f"own{i} " * 5 + " ".join(f"v{i}x{k}" for k in range(12))) for i in range(12)]
+    assert len({simhash.fingerprint(t.encode()) for _, t in docs}) == 1
+    unique = jaccard.band_values(docs_of(docs)).withColumn("row", F.col("doc_id"))
+    assert {(r["a"], r["b"]) for r in jaccard.simhash_pairs(unique, 0.8).collect()} == {(0, i) for i in range(1, 12)}
+    same(jaccard.jaccard_groups(docs_of(docs)).collect(), docs)
+    assert len(set(slow_groups(docs))) == 12
